@@ -15,14 +15,14 @@ each reading leads back to one class string.  Hence two texts have the same form
 exactly if they look the same.
 """
 
-from __future__ import annotations
-
 import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
+from typing import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -268,9 +268,7 @@ def canonicalize(df: DataFrame, text: str = "content", out: str = "canonical", r
     share = df.sparkSession.sparkContext.broadcast((reader.scores, reader.prior))
 
     @F.pandas_udf("string")
-    def form(it: Iterator) -> Iterator:
-        import pandas as pd
-
+    def form(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Reader(*share.value)
         for s in it:
             yield pd.Series([None if t is None else own.canonical(t) for t in s], dtype=object)
