@@ -34,6 +34,7 @@ TYPICAL = 2.0  # mutual information is held against this: pairs below it are imp
 MOST = 8.0  # most that one pair can speak for a run
 LEAST_RUN = 1.5  # total of a run that is looked into
 GAIN = 4.0  # least drop of a run's total for a mapping between single-byte encodings
+REMEMBERED = 100_000
 ROUNDS = 3  # text may have been garbled more than once
 LONE = 1e-5  # a lone character that is no rarer than this is not put down to a wrong single-byte encoding
 
@@ -130,11 +131,12 @@ class PairModel:
     def __post_init__(self) -> None:
         self.ids = np.zeros(0x110000, np.int32)
         self.ids[self.chars] = np.arange(1, len(self.chars) + 1)
+        self.flat = self.table.ravel()
+        self.seen: dict = {}  # results for runs met before, while a document has shown no encoding yet
 
     def scores(self, codes: np.ndarray) -> np.ndarray:
-        ids = self.ids[codes]
-        out = self.table[ids[:-1], ids[1:]]
-        return np.where((codes[:-1] == 0) | (codes[1:] == 0), 0.0, out)
+        ids = self.ids.take(codes)
+        return self.flat.take(ids[:-1] * self.table.shape[1] + ids[1:])
 
     def share(self, ch: str) -> float:
         """Share of a character in the documents that teach."""
@@ -257,7 +259,15 @@ def _inverse(text: str, a: int, b: int, model: PairModel, first: list[tuple[str,
         for spans in ([(a, b)], _pieces(text, a, b)):
             for c, d in spans:
                 around = (text[max(0, c - 2) : c], text[d : d + 2])
-                best = how(text[c:d], around, model, first, model.total(around[0] + text[c:d] + around[1]))
+                key = None if first or d - c > 40 else (how is _from_utf8, text[c:d], around)
+                if key in model.seen:
+                    best = model.seen[key]
+                else:
+                    best = how(text[c:d], around, model, first, model.total(around[0] + text[c:d] + around[1]))
+                    if key:
+                        if len(model.seen) > REMEMBERED:
+                            model.seen.clear()
+                        model.seen[key] = best
                 if best:
                     out.append((c, d, best[1], best[2]))
                     first[:] = [best[2], *(p for p in first if p != best[2])]
