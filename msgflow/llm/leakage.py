@@ -1,7 +1,7 @@
 """Evaluation items that leaked into a corpus.
 
 A positional inverted index, distributed by documents: every task indexes the
-documents it reads (term -> positions), so no posting is ever shuffled, whatever
+documents it reads (term -> positions; a term is a pair of neighbouring words), so no posting is ever shuffled, whatever
 the skew of the terms.  For every window of an item the rarest terms of the corpus
 are its anchors.  Offset-adjusted posting lists of the anchors are intersected (a
 hit is ``position in document - position in item``, give or take an insertion), and
@@ -24,9 +24,9 @@ from msgflow.session import empty, require
 
 LEAST = 20  # words of an item, one after the other, that make a leak
 KEPT = 0.75  # share of the words of such a passage that must be there unchanged
-RAREST = 3  # terms of every window of ``LEAST`` words of an item that are its anchors
+RAREST = 6  # terms of every window of ``LEAST`` words of an item that are its anchors
 PAIRS = 10  # neighbouring words of the item that must be neighbours near the anchors before a passage is aligned
-AGREE = 2  # anchors, different words, that must agree on an offset
+AGREE = 2  # anchors that must agree on an offset
 DRIFT = 16  # words that offsets may differ by within one passage
 ITEM_GAP, TEXT_GAP = 6, 14  # longest stretch of changed words of the item, and of inserted ones in the text
 SKIP, INSERT = 0.6, 0.25  # costs of a word of the item that is missing, and of one of the text that is added
@@ -60,28 +60,32 @@ def instruction_lengths(items: list[list[str]]) -> list[int]:
     return out
 
 
-def choose_anchors(items: list[list[str]], counts: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
+Term = tuple[str, str]
+
+
+def terms(ws: list[str]) -> list[Term]:
+    return list(zip(ws, ws[1:]))
+
+
+def choose_anchors(items: list[list[str]], counts: dict[Term, int]) -> dict[Term, list[tuple[int, int]]]:
     """``term -> [(item, position)]``: the ``RAREST`` terms of every window of ``LEAST`` words of every item.
 
     A term that the corpus doesn't hold can't be matched and is passed over.
     """
-    out: dict[str, set[tuple[int, int]]] = defaultdict(set)
+    out: dict[Term, set[tuple[int, int]]] = defaultdict(set)
     for k, ws in enumerate(items):
+        held = [(counts.get(t, 0), i, t) for i, t in enumerate(terms(ws))]
         for a in range(0, len(ws) - LEAST + 1):
-            met: set[str] = set()
-            for i in sorted((i for i in range(a, a + LEAST) if counts.get(ws[i])), key=lambda i: (counts[ws[i]], i)):
-                if len(met) == RAREST and ws[i] not in met:
-                    break
-                met.add(ws[i])
-                out[ws[i]].add((k, i))
-    return {w: sorted(v) for w, v in out.items()}
+            for _, i, t in sorted(h for h in held[a : a + LEAST - 1] if h[0])[:RAREST]:
+                out[t].add((k, i))
+    return {t: sorted(v) for t, v in out.items()}
 
 
-def positions(item: list[str]) -> dict[str, list[int]]:
-    at: dict[str, list[int]] = defaultdict(list)
+def positions(item: list) -> dict:
+    at = defaultdict(list)
     for i, w in enumerate(item):
         at[w].append(i)
-    return at
+    return dict(at)
 
 
 def align(text: list[str], at: dict[str, list[int]], offset: int, low: int, high: int) -> tuple[float, int, int, int]:
@@ -116,11 +120,11 @@ def align(text: list[str], at: dict[str, list[int]], offset: int, low: int, high
 class Index:
     """Anchors of a block of items, and the search of one document for them."""
 
-    def __init__(self, items: list[list[str]], anchors: dict[str, list[tuple[int, int]]]):
+    def __init__(self, items: list[list[str]], anchors: dict[Term, list[tuple[int, int]]]):
         self.items = items
         self.anchors = anchors
         self.at = [positions(ws) for ws in items]
-        self.pairs = [frozenset(zip(ws, ws[1:])).__contains__ for ws in items]
+        self.pairs = [positions(terms(ws)) for ws in items]
 
     def search(self, text: str) -> list[tuple[int, str, int, int, int]]:
         """``(item, kind, words matched, first, last word of the item)`` of the items in a document."""
@@ -129,9 +133,9 @@ class Index:
             return []
         anchors = self.anchors
         lists: dict[int, list[tuple[int, int]]] = {}  # offset-adjusted postings of every item, in the order of the text
-        for d, w in enumerate(ws):
-            if w in anchors:
-                for k, i in anchors[w]:
+        for d, t in enumerate(zip(ws, ws[1:])):
+            if t in anchors:
+                for k, i in anchors[t]:
                     if k in lists:
                         lists[k].append((d, i))
                     else:
@@ -141,9 +145,8 @@ class Index:
             if len(hits) < AGREE:
                 continue
             n = len(self.items[k])
-            for offset, lo, hi in _agreeing(ws, hits):
-                near = ws[max(0, lo - LEAST - DRIFT) : hi + LEAST + DRIFT]
-                if sum(map(self.pairs[k], zip(near, near[1:]))) < PAIRS:
+            for offset, lo, hi in _agreeing(hits):
+                if self._neighbours(ws, k, offset, max(0, lo - LEAST - DRIFT // 2), hi + LEAST + DRIFT // 2) < PAIRS:
                     continue
                 score, matched, first, last = align(ws, self.at[k], offset, lo - n, hi + n + 1)
                 span = last - first + 1
@@ -152,7 +155,16 @@ class Index:
         return list(best.values())
 
 
-def _agreeing(ws: list[str], hits: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    def _neighbours(self, ws: list[str], k: int, offset: int, low: int, high: int) -> int:
+        """Pairs of neighbouring words between two positions that stand in the item near the same offset."""
+        pairs, n = self.pairs[k], 0
+        for d, pair in enumerate(zip(ws[low:high], ws[low + 1 : high]), low):
+            if pair in pairs and any(abs(d - i - offset) <= DRIFT // 2 for i in pairs[pair]):
+                n += 1
+        return n
+
+
+def _agreeing(hits: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """``(offset, first, last position)`` where ``AGREE`` anchors, in the length of a passage, agree on an offset."""
     out: list[tuple[int, int, int]] = []
     recent: list[tuple[int, int]] = []
@@ -160,30 +172,31 @@ def _agreeing(ws: list[str], hits: list[tuple[int, int]]) -> list[tuple[int, int
         offset = d - i
         while recent and d - recent[0][0] > LEAST + DRIFT:
             recent.pop(0)
-        agreed = {ws[e]: e for e, o in recent if e < d and abs(o - offset) <= DRIFT // 2 and ws[e] != ws[d]}
+        agreed = {e for e, o in recent if e < d and abs(o - offset) <= DRIFT // 2}
         if len(agreed) >= AGREE - 1 and not (out and abs(out[-1][0] - offset) <= DRIFT // 2 and d - out[-1][2] <= LEAST):
-            out.append((offset, min(agreed.values()), d))
+            out.append((offset, min(agreed), d))
         elif len(agreed) >= AGREE - 1:
             out[-1] = (out[-1][0], out[-1][1], d)
         recent.append((d, offset))
     return out
 
 
-def occurrences(df: DataFrame, text: str, vocabulary: set[str]) -> dict[str, int]:
-    """How often each of the given words occurs in the whole corpus; counted per task before the shuffle."""
+def occurrences(df: DataFrame, text: str, vocabulary: set[Term]) -> dict[Term, int]:
+    """How often each of the given terms occurs in the whole corpus; counted per task before the shuffle."""
     share = df.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
-    schema = pa.schema([("w", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total = share.value.__contains__, Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    total.update(filter(known, words(t)))
-        yield pa.RecordBatch.from_pydict({"w": list(total), "n": list(total.values())}, schema=schema)
+                    ws = words(t)
+                    total.update(filter(known, zip(ws, ws[1:])))
+        yield pa.RecordBatch.from_pydict({"a": [t[0] for t in total], "b": [t[1] for t in total], "n": list(total.values())}, schema=schema)
 
-    rows = df.select(F.col(text).cast("string")).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return {r["w"]: r["n"] for r in rows.collect()}
+    rows = df.select(F.col(text).cast("string")).mapInArrow(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return {(r["a"], r["b"]): r["n"] for r in rows.collect()}
 
 
 def find_leaks(corpus: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -213,7 +226,7 @@ def find_leaks(corpus: DataFrame, items: DataFrame, *, key: str = "doc_id", text
         if not live:
             continue
         texts = [ws for _, ws in live]
-        index = Index(texts, choose_anchors(texts, occurrences(slim, "t", {w for ws in texts for w in ws})))
+        index = Index(texts, choose_anchors(texts, occurrences(slim, "t", {t for ws in texts for t in terms(ws)})))
         out = out.unionByName(_search(slim, key, [i for i, _ in live], index, schema))
     return out
 

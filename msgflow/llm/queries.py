@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from msgflow.llm import leakage, lookalike, mojibake
+from msgflow.llm import leakage, lookalike, mojibake, packing
 from msgflow.session import table
 
 
@@ -16,6 +16,10 @@ def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.canonicalize(table(spark, sf_dir, "messages").select("id", "write_seq", "content"))
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_passages(spark, sf_dir).select("doc_id", "item_id").distinct()
 
@@ -32,6 +36,6 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repair_encoding(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p8_found, p8_passages, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p7_containers, p8_found, p8_passages, p9_found, p9_restored)}
 
 SQL: dict[str, str] = {}
