@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from msgflow.llm import leakage, lookalike, mojibake, packing
+from msgflow.llm import leakage, lookalike, mojibake, packing, toxicity
 from msgflow.session import table
 
 
@@ -16,6 +17,23 @@ def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.canonicalize(table(spark, sf_dir, "messages").select("id", "write_seq", "content"))
 
 
+def _scored_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity.train(table(spark, sf_dir, "moderation_cases"), table(spark, sf_dir, "censored_words"))
+    return toxicity.score_texts(table(spark, sf_dir, "messages").select("id", "room", "content"), model)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored_messages(spark, sf_dir).filter(F.col("content_score") >= toxicity.THRESHOLD).select("id").distinct()
+
+
+def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored_messages(spark, sf_dir).select("id", "room", "content_score")
+
+
+def p6_room_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rates(_scored_messages(spark, sf_dir), "room")
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -36,6 +54,6 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repair_encoding(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p7_containers, p8_found, p8_passages, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p6_found, p6_scores, p6_room_rates, p7_containers, p8_found, p8_passages, p9_found, p9_restored)}
 
 SQL: dict[str, str] = {}
