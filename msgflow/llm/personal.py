@@ -13,6 +13,7 @@ from how the whole corpus writes it.
 
 import random
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from typing import Iterator
 
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from msgflow.llm.lookalike import IGNORABLE
 from msgflow.session import require
 
 LABELS = ("O", "email", "phone", "id_number", "address", "person")
@@ -32,14 +34,16 @@ SKIP = 2.5  # log potential of equal labels on a skip edge
 TURNS = 2  # rounds of messages along the skip edges
 BLOCK = 512  # documents passed together
 
-_AT = r"(?:@|\s?\(at\)\s?|\s?\[at\]\s?| at )"
-_DOT = r"(?:\.|\s?\(dot\)\s?|\s?\[dot\]\s?| dot )"
+_AT = r"(?:@|\s?\(at\)\s?|\s?\[at\]\s?)"
+_DOT = r"(?:\.|\s?\(dot\)\s?|\s?\[dot\]\s?)"
 TOKEN = re.compile(
-    rf"(?P<email>[^\W_][\w.+\-]*(?:{_AT})[\w\-]+(?:{_DOT}[\w\-]+)+)"
+    r"(?P<initial>(?<![^\W_])[A-ZÀ-ÞŠŽŁŚ]\.(?= ?[A-ZÀ-ÞŠŽŁŚ]))"
+    r"|(?P<word>(?>[^\W\d_]+(?:['’\-][^\W\d_]+)*)(?![\w@(\[.+\-]))"
+    rf"|(?P<email>[^\W_][\w.+\-]*{_AT}[\w\-]+(?:{_DOT}[\w\-]+)*{_DOT}[^\W\d_]{{2,}})"
     r"|(?P<handle>@[\w.]+)"
-    r"|(?P<num>[+(]{0,2}(?<![^\W_])(?:[A-Z]{1,2}[ \-]?)?\d[\dA-Z]*(?:(?:[ .\-/]|\) ?|-?\()\d[\dA-Z]*)*(?:[ \-]?[A-Z](?![^\W_]))?[a-z]?(?![^\W\d_]))"
-    r"|(?P<code>[A-Z]\d[A-Z0-9]{4,})"
-    r"|(?P<word>[^\W\d_]+(?:['’\-][^\W\d_]+)*)"
+    r"|(?P<num>(?<![^\W_])(?:[A-Z]{1,2}[ \-]?)?(?:\+\d{1,3}[ .\-/]?)?(?:\(\d{1,4}\)[ ]?)?\d[\dA-Z]*(?:[ .\-/]\d[\dA-Z]*)*(?:[ \-]?[A-Z](?![^\W_]))?[a-z]?(?![^\W\d_]))"
+    r"|(?P<code>(?<![^\W_])[A-Z]\d[A-Z0-9]{4,})"
+    r"|(?P<word2>(?>[^\W\d_]+(?:['’\-][^\W\d_]+)*)(?![\d_]))"
     r"|(?P<mix>[^\W_]+)"
     r"|(?P<other>\S)"
 )
@@ -48,15 +52,16 @@ TOKEN = re.compile(
 WORDS = {
     "call": "call text mobile phone tel telephone téléphone tél handy telefon móvil teléfono appelez llámame joignable rückruf erreichbar fax cell whatsapp",
     "card": "passport insurance ssn nino pasaporte passeport reisepass steuer ausweis kartennummer dni nie nif identité assuré sozialversicherungsnummer titular holder documento sécurité personalausweis identity",
-    "street": "street st road rd lane avenue ave close drive court terrace row way hill path place weg straße strasse str allee gasse platz ring ufer hof calle avenida av avda plaza paseo camino ronda rue impasse chemin allée boulevard bd place quai cours",
-    "title": "mr mrs ms miss dr prof herr frau mme mlle monsieur madame sr sra srta don doña m me",
-    "house": "flat apt apartment bis ter wohnung piso puerta appartement bât no nr n",
+    "street": "street st road rd lane avenue ave close weg straße strasse str allee gasse platz ring ufer hof calle avenida av avda plaza paseo camino ronda rue impasse chemin allée boulevard bd",
+    "title": "mr mrs ms miss dr prof herr frau mme mlle monsieur madame sr sra srta",
+    "house": "flat apt apartment bis ter wohnung piso puerta appartement bât",
     "count": "ticket order invoice article build port batch sha node job lot ref version items rows pages files messages bytes ns ms has costs retry line seats room office photo page unit units box",
     "home": "moved lives address domicile vive wohnt adresse dirección pick ship deliver lieferung abholung recoger retirer envoyez office registered",
     "by": "by ask signed taken think cc demandez rédigé protokoll redactado pregunta contact von bei para pour a à",
     "of": "de la le les des du del el los las der die das den von of the l d",
 }
 _WORD_CLASS = {w: k for k, ws in WORDS.items() for w in ws.split()}
+_CAPITAL_ONLY = frozenset("street st road rd lane avenue ave close weg straße strasse str platz ring ufer hof gasse allee m".split())
 _STREET_END = re.compile(r"(?:straße|strasse|str|weg|gasse|allee|platz|ufer|damm|hof)$")
 CLASSES = (
     ["pad", "email", "handle", "code", "low", "common", "middling", "rare", "initial", "shout", "mix", "house_number", "postal"]
@@ -103,23 +108,24 @@ class Lexicon:
         self.kinds = kinds
 
     def word(self, w: str) -> str:
+        if "'" in w or "’" in w:
+            w = re.split("['’]", w)[-1] or w
         low = w.lower()
         known = _WORD_CLASS.get(low)
-        if known and known not in ("of", "by"):
+        if known == "street" and low in _CAPITAL_ONLY and w[0].islower():
+            return "low"
+        if known and (known not in ("of", "by") or w[0].islower()):
             return known
-        if len(w) == 1 and w.isupper():
-            return "initial"
         if w[0].islower():
-            return known or ("street" if _STREET_END.search(low) and len(low) > 6 else "low")
-        parts = low.split("-")
-        kinds = [self.kinds.get(p, "rare") for p in parts]
-        if len(w) > 1 and w.isupper() and "common" in kinds:
-            return known or "low"
-        if known:
-            return known
-        if _STREET_END.search(low) and len(low) > 6 and "common" not in kinds:
+            return "low"
+        kinds = [self.kinds.get(p, "rare") for p in low.split("-")]
+        if len(w) == 1 or "common" in kinds:
+            return "common"
+        if w.isupper():
+            return "shout"
+        if _STREET_END.search(low) and len(low) > 6:
             return "street"
-        return "common" if "common" in kinds else "rare" if "rare" in kinds and len(parts) == 1 else "middling"
+        return "rare" if kinds == ["rare"] else "middling"
 
 
 def lexicon(counts: dict[str, tuple[int, int]], total: int) -> Lexicon:
@@ -179,7 +185,7 @@ def learn_lexicon(frames: list[tuple[DataFrame, str]]) -> Lexicon:
 # --- training -------------------------------------------------------------------------
 
 # Lines of classes: {x} is a slot; everything else is given by its class.
-_PERSON = ["middling rare", "middling rare", "initial dot rare", "title rare", "title dot rare", "rare comma middling", "title dot initial dot rare", "middling middling rare", "title middling rare", "rare comma initial dot"]
+_PERSON = ["middling rare", "middling rare", "initial rare", "initial rare", "title rare", "title dot rare", "rare comma middling", "title dot initial rare", "middling middling rare", "title middling rare", "middling initial rare"]
 _ADDRESS = [
     "house_number rare street", "house_number middling street", "house_number common street", "house_number middling common street", "house_number common middling street", "house_number house street of common middling",
     "house_number comma street of middling", "house_number street of middling", "house_number street of rare", "house_number street of common middling", "house_number house street of middling", "street of middling comma house_number", "street middling house_number", "street of common middling comma house_number comma house_number low",
@@ -194,7 +200,7 @@ TEMPLATES = [
     "low low by PERSON", "common low by PERSON", "PERSON by low of low", "by PERSON low of low", "low low PERSON low of low low", "PERSON comma by", "by colon PERSON", "PERSON low of low low colon EMAIL", "by a PERSON by of low", "low PERSON low low low", "common low low PERSON", "PERSON home low ADDRESS",
     "by PERSON by EMAIL", "low low EMAIL low of low low", "by EMAIL low of low", "home low EMAIL", "common low low EMAIL", "by colon EMAIL", "EMAIL low low of low", "low EMAIL comma low home low ADDRESS", "low of common EMAIL low",
     "call low low PHONE low low", "call dot PHONE", "call PHONE", "call PHONE low low", "of low call PHONE low low comma low low", "common call PHONE", "call low PHONE", "low call PHONE", "call of PHONE", "call colon PHONE", "low low call low PHONE", "call dot colon PHONE", "common low call PHONE",
-    "card house dot CARD", "card CARD", "card low low PHONE_NOT", "low low low of card comma low low CARD", "card low card CARD low low low", "card dash CARD low low low", "common of card low CARD", "low card low CARD", "card colon CARD", "low of card low common", "card dash initial CARD low low", "of card of card CARD", "card CARD low by low low", "low card CARD semi PERSON", "low card low low CARD", "low low low low CARD",
+    "card house dot CARD", "card CARD", "card low low PHONE_NOT", "low low low of card comma low low CARD", "card low card CARD low low low", "card dash CARD low low low", "common of card low CARD", "low card low CARD", "card colon CARD", "low of card low common", "card dash CARD low low", "of card of card CARD", "card CARD low by low low", "low card CARD semi PERSON", "low card low low CARD", "low low low low CARD",
     "low low home low ADDRESS", "home low low low ADDRESS", "low home low ADDRESS low low", "home low colon ADDRESS", "home colon ADDRESS", "home low ADDRESS", "low low ADDRESS", "home by ADDRESS", "low low low low ADDRESS comma postal middling", "home of ADDRESS comma postal middling",
 ]
 HARMLESS = [
@@ -207,7 +213,7 @@ HARMLESS = [
 ]
 
 
-def _made_lines(seed: int = 7, rounds: int = 60) -> list[list[tuple[str, int]]]:
+def _made_lines(seed: int = 7, rounds: int = 10) -> list[list[tuple[str, int]]]:
     """Labelled lines of classes."""
     rng = random.Random(seed)
     out = []
@@ -243,7 +249,7 @@ class Field:
         self.margin = 2 * max(gain, 0.0)
 
 
-def train_field(steps: int = 250) -> Field:
+def train_field(steps: int = 160) -> Field:
     """Piecewise training: softmax over the window of classes, counted chain of labels."""
     lines = _made_lines()
     reach = max(abs(o) for o in OFFSETS)
@@ -303,7 +309,7 @@ class Tagger:
 
     def _class(self, m: re.Match) -> int:
         kind = m.lastgroup
-        if kind == "word":
+        if kind == "word" or kind == "word2":
             w = m.group()
             got = self.known.get(w)
             if got is None:
@@ -411,10 +417,18 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*parts, text[last:]])
 
 
+_HIDDEN = dict.fromkeys(map(ord, IGNORABLE))
+
+
+def visible(text: str) -> str:
+    """Composed form without ignorable characters, which would cut words."""
+    return unicodedata.normalize("NFC", text.translate(_HIDDEN))
+
+
 def find_personal(df: DataFrame, key: str, text: str, lex: Lexicon, field: Field | None = None, out: str = "redacted") -> DataFrame:
     """``key, kinds array<string>, redacted`` of every row with a text.
 
-    NULL texts give NULL and no kinds, empty ones stay empty; long texts are labelled whole; repeated
+    ``redacted`` is in composed form (NFC) and has no ignorable characters.  NULL texts give NULL and no kinds, empty ones stay empty; long texts are labelled whole; repeated
     rows are kept; other columns are ignored, whatever their names.
     """
     require(df, key, text)
@@ -428,7 +442,7 @@ def find_personal(df: DataFrame, key: str, text: str, lex: Lexicon, field: Field
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)
-                texts = part.column(1).to_pylist()
+                texts = [t if t is None or t.isascii() else visible(t) for t in part.column(1).to_pylist()]
                 spans = own.tag([t or "" for t in texts])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([sorted({s[2] for s in x}) for x in spans], pa.list_(pa.string())), pa.array([None if t is None else redact(t, x) if x else t for t, x in zip(texts, spans)], pa.string())],

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgflow.llm import leakage, lookalike, mojibake, packing, toxicity
+from msgflow.llm import leakage, lookalike, mojibake, packing, personal, toxicity
 from msgflow.session import table
 
 
@@ -17,6 +17,30 @@ def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.canonicalize(table(spark, sf_dir, "messages").select("id", "write_seq", "content"))
 
 
+def page_key() -> Column:
+    return F.concat("entity_id", F.lit("#"), F.col("number").cast("string"))
+
+
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = table(spark, sf_dir, "messages").select(F.col("id").alias("record_key"), "content")
+    pages = table(spark, sf_dir, "document_pages").select(page_key().alias("record_key"), "content")
+    lex = personal.learn_lexicon([(messages, "content"), (pages, "content")])
+    field = personal.train_field()
+    parts = [
+        personal.find_personal(df, "record_key", "content", lex, field).withColumn("record_table", F.lit(name))
+        for name, df in (("messages", messages), ("document_pages", pages))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir).select("record_table", "record_key", F.explode("kinds").alias("kind")).distinct()
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir).select("record_table", "record_key", "redacted")
+
+
 def _scored_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(table(spark, sf_dir, "moderation_cases"), table(spark, sf_dir, "censored_words"))
     return toxicity.score_texts(table(spark, sf_dir, "messages").select("id", "room", "content"), model)
@@ -54,6 +78,6 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repair_encoding(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p6_found, p6_scores, p6_room_rates, p7_containers, p8_found, p8_passages, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p5_found, p5_redacted, p6_found, p6_scores, p6_room_rates, p7_containers, p8_found, p8_passages, p9_found, p9_restored)}
 
 SQL: dict[str, str] = {}
