@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgflow.llm import leakage, lookalike, mojibake, packing, personal, toxicity
+from msgflow.llm import leakage, lookalike, mojibake, packing, personal, scanned, toxicity
 from msgflow.session import table
 
 
@@ -21,6 +21,24 @@ def page_key() -> Column:
     return F.concat("entity_id", F.lit("#"), F.col("number").cast("string"))
 
 
+def scanned_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "document_pages").select(
+        F.lit("document_pages").alias("record_table"), page_key().alias("record_key"), F.col("entity_id").alias("entity"), F.col("number").cast("int").alias("number"), F.col("content").alias("text")
+    )
+    tapes = table(spark, sf_dir, "audio_details").select(
+        F.lit("audio_details").alias("record_table"), F.col("entity_id").alias("record_key"), F.col("entity_id").alias("entity"), F.lit(None).cast("int").alias("number"), F.col("transcription").alias("text")
+    )
+    return pages.unionByName(tapes)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.defects(scanned_records(spark, sf_dir))
+
+
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.repair(scanned_records(spark, sf_dir))
+
+
 def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = table(spark, sf_dir, "messages").select(F.col("id").alias("record_key"), "content")
     pages = table(spark, sf_dir, "document_pages").select(page_key().alias("record_key"), "content")
@@ -78,6 +96,6 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repair_encoding(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p5_found, p5_redacted, p6_found, p6_scores, p6_room_rates, p7_containers, p8_found, p8_passages, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p3_found, p3_repaired, p5_found, p5_redacted, p6_found, p6_scores, p6_room_rates, p7_containers, p8_found, p8_passages, p9_found, p9_restored)}
 
 SQL: dict[str, str] = {}
