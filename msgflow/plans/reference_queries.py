@@ -445,3 +445,28 @@ def message_admission(spark, d):
 @query("SELECT category, count(*) AS n_cases, round(avg(CASE WHEN is_malicious THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM moderation_cases GROUP BY category")
 def accuracy_by_category(spark, d):
     return monitor.accuracy(_t(spark, d, "moderation_cases"), "category", F.col("is_malicious")).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query()
+def detected_language(spark, d):
+    from msgflow.functions.language import detect
+
+    return _t(spark, d, "documents").select("doc_id", detect(F.col("text")).alias("language"))
+
+
+@query()
+def check_messages(spark, d):
+    from msgflow.operators import classifier
+
+    model = classifier.fit(_t(spark, d, "moderation_cases"))
+    return classifier.check(_t(spark, d, "messages").select("id", "write_seq", "content"), model, "content").select("id", "write_seq", F.round("toxicity", 6).alias("toxicity"), "is_toxic")
+
+
+@query("SELECT entity_id, write_seq, CASE WHEN size >= 1073741824 THEN regexp_replace(CAST(round(size / 1073741824.0, 1) AS VARCHAR), '\\.0$', '') || ' GB' WHEN size >= 1048576 THEN regexp_replace(CAST(round(size / 1048576.0, 1) AS VARCHAR), '\\.0$', '') || ' MB' WHEN size >= 1024 THEN regexp_replace(CAST(round(size / 1024.0, 1) AS VARCHAR), '\\.0$', '') || ' KB' ELSE CAST(size AS VARCHAR) || ' B' END AS shown FROM " + FILES)
+def human_sizes(spark, d):
+    return _files(spark, d).select("entity_id", "write_seq", text.human_bytes(F.col("size")).alias("shown"))
+
+
+@query("SELECT word, count(*) FILTER (WHERE w.word = c.word) AS same FROM (SELECT DISTINCT word FROM censored_words WHERE word LIKE 'i%') w LEFT JOIN (SELECT word AS cw, word FROM censored_words) c USING (word) GROUP BY word")
+def prefix_scan(spark, d):
+    return store.scan_prefix(_t(spark, d, "censored_words"), "word", "i").groupBy("word").agg(F.count("*").alias("same"))
