@@ -1,7 +1,11 @@
 """Toxicity of a message from hashed words: one feature function for training and use."""
 
+from typing import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -42,13 +46,17 @@ def check(df: DataFrame, model: LogisticRegressionModel, text: str) -> DataFrame
     """``df`` with ``toxicity`` and ``is_toxic``; only the weights of a text's own words are summed."""
     weights, bias = np.array(model.coefficients.toArray()), float(model.intercept)
 
-    @F.pandas_udf("double")
-    def log_odds(ids: pd.Series) -> pd.Series:
-        n = ids.map(len).to_numpy()
-        flat = np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int64)
-        return pd.Series(np.bincount(np.repeat(np.arange(len(n)), n), weights[flat], len(n)) + bias)
-
-    z = log_odds(feature_ids(F.coalesce(F.col(text), F.lit("")), model.numFeatures))
-    return df.withColumn("toxicity", 1 / (1 + F.exp(-z))).withColumn("is_toxic", F.col("toxicity") > TOXIC)
+    size = model.numFeatures
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
+    def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            ids = b.column(b.num_columns - 1)
+            n = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
+            flat = pc.list_flatten(ids).to_numpy(zero_copy_only=False)
+            z = np.bincount(np.repeat(np.arange(len(n)), n), weights[flat], len(n)) + bias
+            p = 1 / (1 + np.exp(-z))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p), pa.array(p > TOXIC)], names=[*b.schema.names[:-1], "toxicity", "is_toxic"])
 
+    with_ids = df.select(*df.columns, feature_ids(F.coalesce(F.col(text), F.lit("")), size).alias("_ids"))
+    return with_ids.mapInArrow(score, f"{kept}, toxicity double, is_toxic boolean")
