@@ -1,31 +1,44 @@
 """Toxicity of a message from hashed words: one feature function for training and use."""
 
+from functools import lru_cache
 from typing import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from msgflow.functions.text import feature_ids
+from msgflow.functions.text import FNV_OFFSET, FNV_PRIME
 
 TOXIC = 0.35
 PER_CLASS = 5000
 
 
+@lru_cache(maxsize=1 << 18)
+def _fnv(word: str) -> int:
+    """As ``msgflow.functions.text.fnv1a``; words recur, so each worker works one out once."""
+    h = FNV_OFFSET
+    for byte in word.encode():
+        h = ((h ^ byte) * FNV_PRIME) & 0xFFFFFFFF
+    return h
+
+
+def word_features(text: str | None, size: int) -> list[int]:
+    return sorted({_fnv(w) % size for w in (text or "").lower().split()})
+
+
 def _dense(text: Column, size: int) -> Column:
     @F.pandas_udf("array<double>")
-    def spread(ids: pd.Series) -> pd.Series:
-        out = np.zeros((len(ids), size))
-        for row, i in zip(out, ids):
-            row[np.asarray(i, np.int64)] = 1.0
+    def spread(texts: pd.Series) -> pd.Series:
+        out = np.zeros((len(texts), size))
+        for row, t in zip(out, texts):
+            row[word_features(t, size)] = 1.0
         return pd.Series(list(out))
 
-    return array_to_vector(spread(feature_ids(F.coalesce(text, F.lit("")), size)))
+    return array_to_vector(spread(text))
 
 
 def training_rows(cases: DataFrame, label: str, per_class: int = PER_CLASS, seed: int = 42) -> DataFrame:
@@ -51,12 +64,12 @@ def check(df: DataFrame, model: LogisticRegressionModel, text: str) -> DataFrame
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            ids = b.column(b.num_columns - 1)
-            n = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
-            flat = pc.list_flatten(ids).to_numpy(zero_copy_only=False)
+            found = [word_features(t, size) for t in b.column(b.num_columns - 1).to_pylist()]
+            n = np.array([len(f) for f in found], np.int64)
+            flat = np.fromiter((i for f in found for i in f), np.int64, int(n.sum()))
             z = np.bincount(np.repeat(np.arange(len(n)), n), weights[flat], len(n)) + bias
             p = 1 / (1 + np.exp(-z))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p), pa.array(p > TOXIC)], names=[*b.schema.names[:-1], "toxicity", "is_toxic"])
 
-    with_ids = df.select(*df.columns, feature_ids(F.coalesce(F.col(text), F.lit("")), size).alias("_ids"))
-    return with_ids.mapInArrow(score, f"{kept}, toxicity double, is_toxic boolean")
+    with_text = df.select(*df.columns, F.col(text).cast("string").alias("_text"))
+    return with_text.mapInArrow(score, f"{kept}, toxicity double, is_toxic boolean")
