@@ -52,7 +52,11 @@ def training_rows(cases: DataFrame, label: str, per_class: int = PER_CLASS, seed
 def fit(cases: DataFrame, text: str = "text", label: str = "is_malicious", size: int = 1024) -> LogisticRegressionModel:
     rows = training_rows(cases.withColumnRenamed(text, "text"), label)
     data = rows.select(_dense(F.col("text"), size).alias("features"), F.col(label).cast("double").alias("label"))
-    return LogisticRegression(maxIter=50, regParam=0.01).fit(data)
+    data = data.coalesce(4).persist()  # bounded by PER_CLASS; every iteration reads it again
+    try:
+        return LogisticRegression(maxIter=50, regParam=0.01).fit(data)
+    finally:
+        data.unpersist()
 
 
 def check(df: DataFrame, model: LogisticRegressionModel, text: str) -> DataFrame:
