@@ -226,6 +226,8 @@ def _from_utf8(run: str, around: tuple[str, str], model: PairModel, first: list[
             out = _meant(out, *pair)
             if out is None:
                 break
+            if len(run) <= 3 and pair not in first and any(c > "\x7f" and model.share(c) <= 0 for c in out):
+                continue  # a lone sequence that means a character which no other document has
             left = model.total(around[0] + out + around[1])
             if not C1.search(out) and (best is None or left < best[0]) and (left < before or pair in first):
                 best = (left, out, pair)

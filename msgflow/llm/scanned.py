@@ -252,6 +252,8 @@ def rebuild(text: str, drop: set[int], cut: set[int], fixes: dict[str, str]) ->
             hold = s
         elif open_cut:
             hold += s
+        elif hold[-1] in MARKS:  # a compound that has its hyphen at the end of the line
+            hold += s
         elif _OPENER.match(s) or (len(hold) < 40 and "\n" not in hold and not hold[-1:].islower() and hold[-1:] != ","):
             out.append(hold)
             hold = s
