@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from msgflow.llm.lookalike import IGNORABLE
+from msgflow.llm.lookalike import IGNORABLE, looks
 from msgflow.session import require
 
 LABELS = ("O", "email", "phone", "id_number", "address", "person")
@@ -39,6 +39,7 @@ _AT = r"(?:@|\s?\(at\)\s?|\s?\[at\]\s?)"
 _DOT = r"(?:\.|\s?\(dot\)\s?|\s?\[dot\]\s?)"
 TOKEN = re.compile(
     r"(?P<initial>(?<![^\W_])[A-ZÀ-ÞŠŽŁŚ]\.(?= ?[A-ZÀ-ÞŠŽŁŚ]))"
+    r"|(?P<street>(?<![^\W_])C/(?= ?[^\W\d_]))"
     r"|(?P<word>(?>[^\W\d_]+(?:['’\-][^\W\d_]+)*)(?![\w@(\[.+\-])(?!\s[(\[](?:at|AT)[)\]]))"
     rf"|(?P<email>[^\W_][\w.+\-]*{_AT}[\w\-]+(?:{_DOT}[\w\-]+)*{_DOT}[^\W\d_]{{2,}})"
     r"|(?P<handle>@[\w.]+)"
@@ -62,7 +63,7 @@ WORDS = {
     "of": "de la le les des du del el los las der die das den von of the l d",
 }
 _WORD_CLASS = {w: k for k, ws in WORDS.items() for w in ws.split()}
-_CAPITAL_ONLY = frozenset("street st road rd lane avenue ave close weg straße strasse str platz ring ufer hof gasse allee camino paseo ronda".split())
+_CAPITAL_ONLY = frozenset("street st road rd lane ave close weg straße strasse str platz ring ufer hof gasse allee camino paseo ronda".split())
 _STREET_END = re.compile(r"(?:straße|strasse|str|weg|gasse|allee|platz|ufer|damm|hof)$")
 CLASSES = (
     ["pad", "email", "handle", "code", "low", "common", "middling", "rare", "initial", "shout", "mix", "house_number", "postal"]
@@ -105,7 +106,7 @@ def _number_shape(t: str) -> str:
         return "short_tel"
     if shape == "3-3-3" and " " in t and t[0] not in "67":
         return "triple"
-    if len(set(map(len, groups))) == 1 and len(groups) >= 4 and "." not in t[1:3] or shape in ("5-3-3", "3-5-3", "3-3-4", "4-7", "4-6", "3-2-2-2", "3-3-3", "4-3-3-3", "2-2-2-2-2", "3-8"):
+    if len(set(map(len, groups))) == 1 and len(groups) >= 4 and "." not in t[1:3] or shape in ("5-3-3", "3-5-3", "3-3-4", "3-4-4", "4-3-4", "5-6", "4-7", "4-6", "3-2-2-2", "3-3-3", "4-3-3-3", "2-2-2-2-2", "3-8"):
         return f"tel{n}"
     return f"num{n}"
 
@@ -125,9 +126,12 @@ class Lexicon:
             return "low"
         if known and (known not in ("of", "by") or w[0].islower()):
             return known
-        if w[0].islower():
+        if not w[0].isupper():
             return "low"
-        kinds = [self.kinds.get(p, "rare") for p in low.split("-")]
+        parts = low.split("-")
+        if any(_WORD_CLASS.get(p) == "card" for p in parts):
+            return "card"
+        kinds = [self.kinds.get(p, "rare") for p in parts]
         if len(w) == 1 or "common" in kinds:
             return "common"
         if w.isupper():
@@ -199,9 +203,9 @@ _PERSON = ["middling rare", "middling rare", "initial rare", "initial rare", "ti
 _ADDRESS = [
     "house_number rare street", "house_number middling street", "house_number common street", "house_number middling common street", "house_number common middling street", "house_number house street of common middling",
     "house_number comma street of middling", "house_number street of middling", "house_number street of rare", "house_number street of common middling", "house_number house street of middling", "street of middling comma house_number", "street middling house_number", "street of common middling comma house_number comma house_number low",
-    "middling street house_number", "rare street house_number", "common middling street house_number", "street house_number", "common street house_number", "house house_number comma house_number middling street", "house house_number comma house_number common street", "house_number middling street street", "house_number street street", "street common house_number", "street of common house_number", "house_number comma street of common middling",
+    "middling street house_number", "rare street house_number", "common middling street house_number", "street house_number", "common street house_number", "house house_number comma house_number middling street", "house house_number comma house_number common street", "house_number middling street street", "house_number street street", "street common house_number", "street of common house_number", "rare street dot house_number", "middling street dot house_number", "common street dot house_number", "street of of common comma house_number", "street of middling comma house_number", "house_number comma street of common middling",
 ]
-_PHONE = ["tel10", "tel10", "tel10", "tel9", "tel9", "short_tel", "num9", "num10", "num11", "triple"]
+_PHONE = ["tel10", "tel10", "tel10", "tel9", "tel9", "short_tel", "short_tel", "short_tel", "num9", "num10", "num11", "triple"]
 _CARD = ["id9", "id9", "id9", "id8", "id8", "code", "code", "num8", "num15", "num9"]
 _SLOTS = {"PERSON": _PERSON, "ADDRESS": _ADDRESS, "PHONE": _PHONE, "CARD": _CARD, "EMAIL": ["email"]}
 _TAGS = {"PERSON": "person", "ADDRESS": "address", "PHONE": "phone", "CARD": "id_number", "EMAIL": "email"}
@@ -409,8 +413,13 @@ class Tagger:
         """Exact check of what the field found: an address has a number and, close by, the word for a street."""
         if not any(s[2] == "address" for s in spans):
             return spans
+        text = ms[0].string
+
+        def numbered(a: int, b: int) -> bool:
+            return any(c.isdigit() for c in text[max(0, a - 8) : b + 8]) and text[b : b + 1] != "/" and any(c.isalnum() for c in text[a:b])
+
         street = [ms[i] for i in np.flatnonzero(classes == CLASS["street"]).tolist()]
-        return [s for s in spans if s[2] != "address" or any(c.isdigit() for c in ms[0].string[s[0] : s[1]]) and any(m.start() < s[1] + NEAR and m.end() > s[0] - NEAR for m in street)]
+        return [s for s in spans if s[2] != "address" or numbered(s[0], s[1]) and any(m.start() < s[1] + NEAR and m.end() > s[0] - NEAR for m in street)]
 
     @staticmethod
     def _spans(text: str, ms: list[re.Match], labels: np.ndarray) -> list[tuple[int, int, str]]:
@@ -438,9 +447,18 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 _HIDDEN = dict.fromkeys(map(ord, IGNORABLE))
 
 
+_OTHER_SCRIPT = re.compile("[\u0370-\u052f\uff01-\uff5e]")
+_OWN_SHAPE = re.compile("[\u0370-\u052f]")
+
+
 def visible(text: str) -> str:
-    """Composed form without ignorable characters, which would cut words."""
-    return unicodedata.normalize("NFC", text.translate(_HIDDEN))
+    """Composed form without ignorable characters, which would cut words; letters of other scripts that only stand in for Latin ones become Latin."""
+    text = unicodedata.normalize("NFC", text.translate(_HIDDEN))
+    if _OTHER_SCRIPT.search(text):
+        plain = looks(text)
+        if not _OWN_SHAPE.search(plain):
+            return plain
+    return text
 
 
 def find_personal(df: DataFrame, key: str, text: str, lex: Lexicon, field: Field | None = None, out: str = "redacted") -> DataFrame:
