@@ -6,7 +6,7 @@ import importlib
 import importlib.util
 from collections.abc import Callable
 
-CORE = ("msgflow.plans.skew_queries", "msgflow.plans.reference_queries")
+CORE = ("msgflow.plans.skew_queries", "msgflow.plans.engine_queries")
 OPTIONAL_PACKAGE = "llm"  # holds a module ``queries`` of the same shape
 
 
