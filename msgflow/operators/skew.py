@@ -21,6 +21,39 @@ def heavy_keys(states: DataFrame, total: Column | int, share: float, key: str =
     return states.filter(F.col(rows) >= F.lit(share) * total).select(key, rows)
 
 
+MIN_HEAVY = 100_000  # a key with fewer rows is never heavy
+MOST_HEAVY = 10_000  # a heavy key has more than this part of all rows, so there are at most so many
+
+
+def heavy_groups(df: DataFrame, on: list[str], least: int = MIN_HEAVY) -> DataFrame:
+    """The keys ``on`` that one task should not get whole: at most ``MOST_HEAVY`` rows, whatever the input.
+
+    Rows are counted per task before the shuffle; NULL keys are never heavy, since they join with nothing.
+    """
+    counts = df.groupBy(*on).agg(F.count("*").alias("_n")).dropna(subset=on)
+    total = df.count()
+    return counts.filter(F.col("_n") > max(least, total // MOST_HEAVY)).select(*on)
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], least: int = MIN_HEAVY) -> DataFrame:
+    """``left JOIN right USING (on)`` where a few keys hold most rows of ``left``.
+
+    ``right`` has a bounded number of rows a key.  Its rows of the heavy keys of
+    ``left`` (at most ``MOST_HEAVY`` keys) go to every task, so the rows of such a key
+    stay where they are; all other keys are shuffled.  NULL keys join with nothing.
+    """
+    require(left, *on)
+    require(right, *on)
+    heavy = heavy_groups(left, on, least)
+    keys = heavy.limit(MOST_HEAVY + 1).collect()
+    if not keys:
+        return left.join(right, on)
+    held = F.broadcast(left.sparkSession.createDataFrame(keys, heavy.schema).withColumn("_heavy", F.lit(True)))
+    few = left.join(held, on, "left").filter(F.col("_heavy").isNull()).drop("_heavy").join(right, on)
+    many = left.join(F.broadcast(right.join(held.drop("_heavy"), on, "left_semi")), on)
+    return few.unionByName(many)
+
+
 def _finite(c: Column) -> Column:
     """NaN counts as missing, as NULL does."""
     return F.when(~F.isnan(c), c)
@@ -92,7 +125,8 @@ def joined_stats(
 
     A left state with ``n`` rows and a right state with ``m`` rows stand for
     ``n * m`` joined rows; their sums are ``m * s_left`` and ``n * s_right``.  Keys
-    of the left with no partner stay with zero joined rows.
+    of the left with no partner stay with zero joined rows; the rows of a key are
+    those with a partner and those without, so they too come out of the join.
 
     Result: ``key_value, n_left, n_joined, n_matched, mean_left, mean_right``: rows of the key, joined
     rows, join keys with a partner, and the means of both values over the joined rows.
@@ -115,7 +149,7 @@ def joined_stats(
         a.join(b, a["j"] == b["j2"], "left")
         .groupBy("k")
         .agg(
-            F.sum("n").alias("n_left"),
+            (F.sum(F.when(F.col("j2").isNull(), F.col("n")).otherwise(0)) + F.sum(F.when(F.col("j2").isNotNull(), F.col("n")).otherwise(0))).alias("n_left"),
             F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("n_joined"),
             F.count("j2").alias("n_matched"),
             (F.sum(F.col("s") * F.col("m")) / F.sum(F.col("c") * F.col("m"))).alias("mean_left"),
