@@ -1,21 +1,26 @@
 """Text from scanned pages: misread characters, cut words, running headers and page numbers.
 
 Misread words are found by anagram hashes: the hash of a word is the sum of the
-fifth powers of its characters, so a confusion (``rn`` for ``m``) changes it by a
-fixed amount wherever it happens.  Rare words are joined in SQL, by hash plus
+fifth powers (modulo a prime) of its characters, so a confusion (``rn`` for ``m``) changes
+it by a fixed amount wherever it happens.  Rare words are joined in SQL, by hash plus
 difference, with frequent words of the corpus; those that one confusion turns into
 the other are ranked by frequency.  Words cut at line ends are joined where the
 corpus has the whole word rather than the hyphenated one; lines at the edges of
 pages that recur over the file, and page numbers, are taken out.
+
+Words are counted per task before the shuffle, and the words of a record meet the
+table of corrections in place; only edge lines and what was found are shuffled.
 """
 
 import re
+from collections import Counter
 from typing import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from msgflow.operators.skew import split_join
 from msgflow.session import materialize, require
 
 # What was printed, and what recognition makes of it.
@@ -30,27 +35,30 @@ RECURS = 0.4  # least share of the pages of a file on which a running header sta
 EDGE = 2  # lines at the top and at the bottom of a page
 MARKS = "-\u00ac\u00ad\u2010\u2011"  # characters that end a cut line
 
+PRIME = 2_147_483_629  # modulus of the fifth powers: every product stays below 2**63
+MOST_BROADCAST = 1_000_000  # rows of a table of corrections or cut forms that every task may hold; a larger one is joined by shuffle
+
 WORD = re.compile(r"[^\W_]+")
-_CUT = re.compile(rf"([^\W\d_]+|[^\W_]*[^\W\d_])([{MARKS}])[ \t]*(\n\s*|$)(?:([^\W_]+))?")
-_COMPOUND = re.compile(r"[^\W\d_]+-[^\W\d_]+")
+_MARK_END = re.compile(rf"[{MARKS}][ \t]*(?:\n\s*|\Z)")
+_HYPHEN = re.compile(r"(?<=[^\W\d_])-(?=[^\W\d_])")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _DIGIT_LIKE = str.maketrans("lIiOoSs", "1110055")
 _NUMBER_LINE = re.compile(
     r"^[\s\-–—\[(|<~*.=]*(?:(?:page|pagc|pago|poge|pg|p|pag|pág|página|seite|scite|s|strona|folio|fol|f|blatt|hoja)\b[.:\s]*)?(\d{1,4}|[lIO]\d{0,3}|\d[lIO\d]{0,3}|[ivxl]{1,6})"
     r"(?:\s*(?:/|of|af|0f|von|de|sur|z|out of)\s*[\dlIO]{1,4})?[\s\-–—\])|>~*.=]*$",
     re.IGNORECASE,
 )
-_SKELETON = re.compile("cl|rn|nn|rm|in|ri|li|ii|vv|.", re.DOTALL)
+_SKELETON = re.compile("cl|rn|nn|rm|in|ri|li|ii|vv")
 _SHAPE = {"cl": "d", "rn": "m", "nn": "m", "rm": "m", "in": "m", "ri": "n", "li": "h", "ii": "u", "vv": "w", "c": "e", "f": "t", "o": "a", "0": "a", "1": "l", "i": "l", "9": "g", "5": "s", "8": "b", "6": "b", "2": "z"}
+_SINGLE = str.maketrans({k: v for k, v in _SHAPE.items() if len(k) == 1})
 
-PARSED = (
-    "record_table string, record_key string, entity string, number int, edges array<struct<line:int, shape:string, bare:string, num:int, lone:boolean>>, "
-    "cuts array<struct<line:int, a:string, b:string, mark:string>>, words array<string>, compounds array<string>"
-)
+READ = "record_table string, record_key string, entity string, number int, line int, shape string, bare string, num int, lone boolean, kind string, form string, n long"
+FLUSH = 300_000  # forms that a task counts before it hands them on
 
 
 def shape(line: str) -> str:
     """Form of a line that misread characters don't change."""
-    return "".join(_SHAPE.get(x, x) for x in _SKELETON.findall(" ".join(line.lower().split())))
+    return _SKELETON.sub(lambda m: _SHAPE[m.group()], " ".join(line.lower().split())).translate(_SINGLE)
 
 
 def _bare(line: str) -> tuple[str, int | None]:
@@ -85,58 +93,135 @@ def _lines(text: str) -> list[str]:
     return text.replace("\f", "\n").split("\n")
 
 
-def parse(text: str, transcript: bool) -> dict:
-    """Edge lines, cut words, words and hyphenated compounds of a record; a transcript's pages run on, so all its short lines are edges."""
-    text = text.replace("\f", "\n")
-    lines = _lines(text)
-    full = [k for k, l in enumerate(lines) if l.strip()]
+def edge_lines(text: str, transcript: bool) -> list[dict]:
+    """Lines at the edges of a page; a transcript's pages run on, so all its lines are edges."""
+    lines = [l.strip() for l in _lines(text)]
+    full = [k for k, l in enumerate(lines) if l]
     at = full if transcript else sorted({*full[:EDGE], *full[-EDGE:]})
-    edges = [{"line": k} | _edge(lines[k].strip()) for k in at if len(lines[k].strip()) <= 90]
-    cuts, words, gone = [], [], set()
-    starts, n = [], 0
-    for l in lines:
-        starts.append(n)
-        n += len(l) + 1
-    k = 0
-    for m in _CUT.finditer(text):
-        while k + 1 < len(starts) and starts[k + 1] <= m.start(1):
-            k += 1
-        a, mark, b = m.group(1), m.group(2), m.group(4) or ""
-        if b and not b[0].islower():
-            continue
-        cuts.append({"line": k, "a": a, "b": b, "mark": mark})
-        gone.add(m.start(1))
-        if b:
-            gone.add(m.start(4))
-            words.append((a + b).lower())
-    words += [w.group().lower() for w in WORD.finditer(text) if w.start() not in gone]
-    return {"edges": edges, "cuts": cuts, "words": words, "compounds": [c.lower() for c in _COMPOUND.findall(text)]}
+    return [{"line": k} | _edge(lines[k]) for k in at]
+
 
+def cut_words(text: str) -> list[tuple[int, int, int, str]]:
+    """``(start of the word, end of its first half, start of the second, form)`` of words cut at line ends.
 
-def _parsed(records: DataFrame) -> DataFrame:
-    """What ``parse`` finds in every record ``(record_table, record_key, entity, number, text)``; ``number`` is NULL for transcripts."""
+    The form is the lower-case word with its mark and a line end inside; a cut before something that is no word has no second half.
+    """
+    out = []
+    for m in _MARK_END.finditer(text):
+        i = end = m.start()
+        while i and text[i - 1].isalnum():
+            i -= 1
+        if i == end or not text[end - 1].isalpha():
+            continue
+        b = WORD.match(text, m.end())
+        if b and not b.group()[0].islower():
+            continue
+        out.append((i, end, m.end(), f"{text[i:end]}{text[end]}\n{b.group() if b else ''}".lower()))
+    return out
+
+
+def words_of(text: str, cuts: list[tuple[int, int, int, str]]) -> list[str]:
+    """Lower-case words, cut ones whole; a first half without a second is no word."""
+    if cuts:
+        parts, last = [], 0
+        for i, end, after, form in cuts:
+            whole = form[-1] != "\n"
+            parts += [text[last : max(last, end if whole else i)], "" if whole else " "]
+            last = after
+        text = "".join([*parts, text[last:]])
+    return WORD.findall(text.lower())
+
+
+def compounds_of(text: str) -> list[str]:
+    """Lower-case pairs of words with a hyphen between them."""
+    out = []
+    for m in _HYPHEN.finditer(text):
+        i = m.start()
+        while i and text[i - 1].isalpha():
+            i -= 1
+        out.append(text[i : _LETTERS.match(text, m.end()).end()].lower())
+    return out
+
+
+def _read(records: DataFrame) -> DataFrame:
+    """One pass over the texts: a row for every edge line, and counts ``kind, form, n`` of words, cut words and compounds per task."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = to_arrow_schema(StructType.fromDDL(PARSED))
+    schema = to_arrow_schema(StructType.fromDDL(READ))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {kind: Counter() for kind in ("word", "cut", "compound")}
+
+        def counted() -> pa.RecordBatch:
+            rows = [(kind, form, n) for kind, total in totals.items() for form, n in total.items()]
+            for total in totals.values():
+                total.clear()
+            none = [pa.nulls(len(rows), f.type) for f in list(schema)[:9]]
+            return pa.RecordBatch.from_arrays([*none, *(pa.array([r[c] for r in rows], schema.field(9 + c).type) for c in range(3))], schema=schema)
+
+        for b in batches:
+            at: list[int] = []
+            found: list[dict] = []
+            number = b.column(3).to_pylist()
+            for n, t in enumerate(b.column(4).to_pylist()):
+                if not t:
+                    continue
+                t = t.replace("\f", "\n")
+                here = edge_lines(t, number[n] is None)
+                at += [n] * len(here)
+                found += here
+                cuts = cut_words(t)
+                totals["word"].update(words_of(t, cuts))
+                totals["cut"].update(c[3] for c in cuts)
+                totals["compound"].update(compounds_of(t))
+            held = pa.array(at, pa.int32())
+            rest = [pa.array([f[c] for f in found], schema.field(c).type) for c in ("line", "shape", "bare", "num", "lone")]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(held) for c in range(4)), *rest, *(pa.nulls(len(at), f.type) for f in list(schema)[9:])], schema=schema)
+            if len(totals["word"]) > FLUSH:
+                yield counted()
+        yield counted()
+
+    return records.select("record_table", "record_key", "entity", F.col("number").cast("int").alias("number"), "text").mapInArrow(run, READ)
+
+
+def _meet(records: DataFrame, kind: str, table: DataFrame) -> DataFrame:
+    """``record_table, record_key`` and the columns of ``table`` whose ``form`` is a word (or cut word) of the record.
+
+    A table of at most ``MOST_BROADCAST`` rows is held by every task; for a larger one the distinct forms of the records are shuffled.
+    """
+    n = table.count()
+    wanted = None
+    if n <= MOST_BROADCAST:
+        wanted = records.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in table.select("form").collect()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                rows = b.slice(lo, 500).to_pylist()
-                out = [{k: r[k] for k in ("record_table", "record_key", "entity", "number")} | parse(r["text"] or "", r["number"] is None) for r in rows]
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
+            at, forms = [], []
+            for k, t in enumerate(b.column(2).to_pylist()):
+                t = t.replace("\f", "\n")
+                cuts = cut_words(t)
+                here = set(words_of(t, cuts)) if kind == "word" else {c[3] for c in cuts}
+                here = sorted(here if wanted is None else here & wanted.value)
+                at += [k] * len(here)
+                forms += here
+            held = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(held), b.column(1).take(held), pa.array(forms, pa.string())], names=["record_table", "record_key", "form"])
 
-    return records.select("record_table", "record_key", "entity", F.col("number").cast("int").alias("number"), "text").mapInArrow(run, PARSED)
+    found = records.select("record_table", "record_key", "text").mapInArrow(run, "record_table string, record_key string, form string")
+    if wanted is None:
+        return split_join(found, table, ["form"])
+    return found.join(F.broadcast(table), "form") if len(table.columns) > 1 else found
 
 
-def anagram_hash(word: str) -> F.Column:
-    """Sum of the fifth powers of the characters, in SQL."""
-    return F.expr(f"aggregate(filter(split({word}, ''), c -> c <> ''), 0L, (h, c) -> h + cast(ascii(c) as bigint) * ascii(c) * ascii(c) * ascii(c) * ascii(c))")
+def anagram_hash(word: str) -> Column:
+    """Sum of the fifth powers of the characters modulo ``PRIME``, in SQL; it can't overflow."""
+    power = f"(((c * c) % {PRIME}L) * ((c * c) % {PRIME}L)) % {PRIME}L * c % {PRIME}L"
+    return F.expr(f"aggregate(transform(sequence(1, length({word})), i -> cast(ascii(substr({word}, i, 1)) as bigint)), 0L, (h, c) -> h + {power})")
 
 
 def _hash(s: str) -> int:
-    return sum(ord(c) ** 5 for c in s)
+    return sum(pow(ord(c), 5, PRIME) for c in s)
 
 
 def corrections(counts: DataFrame, total: int) -> DataFrame:
@@ -156,62 +241,69 @@ def corrections(counts: DataFrame, total: int) -> DataFrame:
     return hits.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("word", "fix")
 
 
-def _known(c: str) -> F.Column:
+def _known(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(0))
 
 
+def cut_forms(counts: DataFrame, words: DataFrame, fixes: DataFrame) -> DataFrame:
+    """``form``: the cut words of the corpus that are one word, not a compound cut at its own hyphen."""
+    cuts = counts.filter("kind = 'cut'").select(
+        "form", "n", F.regexp_extract("form", rf"^([^{MARKS}]+)", 1).alias("la"), F.substring_index("form", "\n", -1).alias("lb"), F.regexp_extract("form", rf"([{MARKS}])\n", 1).alias("mark"),
+    )
+    compounds = counts.filter("kind = 'compound'").select(F.col("form").alias("compound"), F.col("n").alias("n_compound"))
+    forms = cuts.groupBy("la", "lb").agg(F.sum("n").alias("n_cut"))
+    forms = forms.withColumn("joined", F.concat("la", "lb")).withColumn("compound", F.concat("la", F.lit("-"), "lb"))
+    forms = forms.join(words.select(F.col("word").alias("joined"), F.col("n").alias("n_joined")), "joined", "left").join(compounds, "compound", "left")
+    forms = forms.join(fixes.select(F.col("form").alias("joined"), "fix"), "joined", "left")
+    for side in ("a", "b"):
+        forms = forms.join(words.select(F.col("word").alias(f"l{side}"), F.col("n").alias(f"n_{side}")), f"l{side}", "left")
+    elsewhere = _known("n_joined") - F.col("n_cut")  # the joined form was counted for every cut
+    joins = F.when(F.col("lb") == "", True).when(F.col("fix").isNotNull(), True).when(_known("n_compound") > elsewhere, False).when(elsewhere > 0, True).otherwise((_known("n_a") == 0) | (_known("n_b") == 0))
+    judged = forms.select("la", "lb", joins.alias("join"))
+    return cuts.join(judged, ["la", "lb"]).filter(F.col("mark").isin("\u00ac", "\u00ad") | F.col("join")).select("form")
+
+
 def find_defects(records: DataFrame) -> dict[str, DataFrame]:
     """Frames ``hyphen``, ``misread``, ``header``, ``pagenum`` over records ``(record_table, record_key, entity, number, text)``.
 
-    Each has ``record_table, record_key`` and what ``repair`` needs.  NULL and empty texts have no defect; repeated
-    records count once; an empty table gives empty frames.
+    Each has ``record_table, record_key`` and what ``repair`` needs: ``cut`` (the form of a
+    cut word), ``word`` and ``fix``, or ``line``.  NULL and empty texts have no defect; repeated
+    records may give repeated rows; an empty table gives empty frames.
     """
     require(records, "record_table", "record_key", "entity", "number", "text")
-    once = records.select("record_table", "record_key", "entity", "number", "text").filter(F.length("text") > 0).distinct()
-    parsed = materialize(_parsed(once))
+    full = records.select("record_table", "record_key", "entity", "number", "text").filter(F.length("text") > 0)
     key = ["record_table", "record_key"]
 
-    words = parsed.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    words = materialize(words)
+    read = materialize(_read(full))
+    counts = materialize(read.filter(F.col("kind").isNotNull()).groupBy("kind", "form").agg(F.sum("n").alias("n")))
+    words = counts.filter("kind = 'word'").select(F.col("form").alias("word"), "n")
     total = words.agg(F.sum("n")).first()[0] or 0
-    fixes = materialize(corrections(words, total))
-    misread = parsed.select(*key, F.explode(F.array_distinct("words")).alias("word")).join(fixes, "word")
-
-    cuts = parsed.select(*key, F.explode("cuts").alias("c")).select(*key, F.col("c.line").alias("line"), F.col("c.a").alias("a"), F.col("c.b").alias("b"), F.col("c.mark").alias("mark"))
-    compounds = parsed.select(F.explode("compounds").alias("compound")).groupBy("compound").agg(F.count("*").alias("n_compound"))
-    whole = words.select(F.col("word").alias("joined"), F.col("n").alias("n_joined"))
-    forms = cuts.select(F.lower("a").alias("la"), F.lower("b").alias("lb")).groupBy("la", "lb").agg(F.count("*").alias("n_cut"))
-    forms = forms.withColumn("joined", F.concat("la", "lb")).withColumn("compound", F.concat("la", F.lit("-"), "lb"))
-    forms = forms.join(whole, "joined", "left").join(compounds, "compound", "left")
-    fixed = fixes.select(F.col("word").alias("joined"), "fix")
-    forms = forms.join(fixed, "joined", "left").join(words.select(F.col("word").alias("la"), F.col("n").alias("n_a")), "la", "left").join(words.select(F.col("word").alias("lb"), F.col("n").alias("n_b")), "lb", "left")
-    elsewhere = _known("n_joined") - F.col("n_cut")  # the joined form was counted for every cut
-    joins = F.when(F.col("fix").isNotNull(), True).when(_known("n_compound") > elsewhere, False).when(elsewhere > 0, True).otherwise((_known("n_a") == 0) | (_known("n_b") == 0))
-    judged = forms.select("la", "lb", joins.alias("join"))
-    hyphen = (
-        cuts.withColumn("la", F.lower("a")).withColumn("lb", F.lower("b")).join(judged, ["la", "lb"], "left")
-        .filter(F.col("mark").isin("\u00ac", "\u00ad") | F.col("join")).select(*key, "line", "a", "b", "mark")
-    )
+    fixes = materialize(corrections(words, total).withColumnRenamed("word", "form"))
+    cuts = materialize(cut_forms(counts, words, fixes))
+    misread = _meet(full, "word", fixes).select(*key, F.col("form").alias("word"), "fix")
+    hyphen = _meet(full, "cut", cuts).select(*key, F.col("form").alias("cut"))
 
-    edges = parsed.select(*key, "entity", "number", F.explode("edges").alias("e")).select(*key, "entity", "number", "e.*")
+    edges = read.filter(F.col("kind").isNull())
+    group = ["record_table", "entity"]
     lone = edges.filter("lone")
     texts = edges.filter(F.length("shape") >= 4)
     pages = F.coalesce(F.col("number"), F.col("line"))
-    size = once.groupBy("record_table", "entity").agg(F.count_distinct("record_key").alias("n_pages"))
+    size = edges.groupBy(*group).agg(F.count_distinct("record_key").alias("n_pages"))
     recurring = (
-        texts.select("record_table", "entity", "shape", pages.alias("page")).distinct().groupBy("record_table", "entity", "shape").agg(F.count("*").alias("n_at"))
-        .join(size, ["record_table", "entity"]).filter((F.col("n_at") > 1) & (F.col("n_at") >= RECURS * F.col("n_pages"))).select("record_table", "entity", "shape")
+        texts.select(*group, "shape", pages.alias("page")).distinct().groupBy(*group, "shape").agg(F.count("*").alias("n_at"))
+        .filter("n_at > 1").join(size, group).filter(F.col("n_at") >= RECURS * F.col("n_pages")).select(*group, "shape")
     )
-    same = texts.join(recurring, ["record_table", "entity", "shape"]).select(*key, "line")
-    numbered = texts.filter((F.length("bare") >= 4) & F.col("num").isNotNull() & F.col("number").isNotNull())
-    step = F.col("num") - F.col("number")
-    counting = numbered.groupBy("record_table", "entity", "bare", step.alias("step")).agg(F.min("number").alias("lo"), F.max("number").alias("hi")).filter("lo < hi").select("record_table", "entity", "bare", "step")
-    in_header = numbered.withColumn("step", step).join(counting, ["record_table", "entity", "bare", "step"]).select(*key, "line")
-    runs = texts.filter((F.length("bare") >= 4) & F.col("num").isNotNull() & F.col("number").isNull()).groupBy("record_table", "entity", "bare").agg(F.collect_set("num").alias("nums"))
-    runs = runs.filter(F.expr("size(nums) > 1 and array_max(nums) - array_min(nums) = size(nums) - 1")).select("record_table", "entity", "bare")
-    in_header = in_header.unionByName(texts.filter("number is null").join(runs, ["record_table", "entity", "bare"]).select(*key, "line"))
-    header = same.unionByName(in_header).distinct()
-    pagenum = lone.select(*key, "line").unionByName(in_header).distinct()
+    same = split_join(texts, recurring, [*group, "shape"]).select(*key, "line")
+    numbered = texts.filter((F.length("bare") >= 4) & F.col("num").isNotNull()).withColumn("step", F.col("num") - F.col("number"))
+    paged = numbered.filter(F.col("number").isNotNull())
+    counting = paged.groupBy(*group, "bare", "step").agg(F.min("number").alias("lo"), F.max("number").alias("hi")).filter("lo < hi").select(*group, "bare", "step")
+    in_header = split_join(paged, counting, [*group, "bare", "step"]).select(*key, "line")
+    running = numbered.filter(F.col("number").isNull())
+    # numbers that follow one another without a gap
+    runs = running.groupBy(*group, "bare").agg(F.count_distinct("num").alias("n"), F.min("num").alias("lo"), F.max("num").alias("hi")).filter("n > 1 and hi - lo = n - 1").select(*group, "bare")
+    in_header = in_header.unionByName(split_join(running, runs, [*group, "bare"]).select(*key, "line"))
+    header = same.unionByName(in_header)
+    pagenum = lone.select(*key, "line").unionByName(in_header)
     return {"hyphen": hyphen, "misread": misread, "header": header, "pagenum": pagenum}
 
 
@@ -228,9 +320,12 @@ _PARAGRAPH_END = re.compile(r"[.!?:;…][\"'”’)\]]*$")
 _OPENER = re.compile(r"^\s*(?:[-*•]\s|\d+[.)]\s|\[\d\d:\d\d\])")
 
 
-def rebuild(text: str, drop: set[int], cut: set[int], fixes: dict[str, str]) -> str:
+def rebuild(text: str, drop: set[int], cuts: set[str], fixes: dict[str, str]) -> str:
     """Continuous paragraphs: without the dropped lines, cut words joined, misread words put right, lines of a paragraph run together."""
 
+    text = text.replace("\f", "\n")
+    cut = {text.count("\n", 0, c[1]) for c in cut_words(text) if c[3] in cuts} if cuts else set()
+
     def right(m: re.Match) -> str:
         w = m.group()
         f = fixes.get(w.lower())
@@ -268,22 +363,24 @@ def rebuild(text: str, drop: set[int], cut: set[int], fixes: dict[str, str]) ->
 
 
 def repair(records: DataFrame) -> DataFrame:
-    """``record_table, record_key, repaired`` of every record; one without a defect stays as it is."""
+    """``record_table, record_key, repaired`` of every record; one without a defect stays as it is, a repeated one comes out once."""
     found = find_defects(records)
     key = ["record_table", "record_key"]
-    drop = found["header"].unionByName(found["pagenum"]).groupBy(*key).agg(F.collect_set("line").alias("drop"))
-    cut = found["hyphen"].groupBy(*key).agg(F.collect_set("line").alias("cut"))
-    fixes = found["misread"].groupBy(*key).agg(F.map_from_entries(F.collect_set(F.struct("word", "fix"))).alias("fixes"))
-    once = records.select(*key, "text").distinct()
-    joined = once.join(drop, key, "left").join(cut, key, "left").join(fixes, key, "left").select(*key, "text", "drop", "cut", "fixes")
+    line, cut, fix = F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(None).cast("struct<word:string,fix:string>")
+    todo = (
+        found["header"].unionByName(found["pagenum"]).select(*key, F.col("line"), cut.alias("cut"), fix.alias("fix"))
+        .unionByName(found["hyphen"].select(*key, line.alias("line"), "cut", fix.alias("fix")))
+        .unionByName(found["misread"].select(*key, line.alias("line"), cut.alias("cut"), F.struct("word", "fix").alias("fix")))
+        .groupBy(*key).agg(F.collect_set("line").alias("drop"), F.collect_set("cut").alias("cuts"), F.collect_set("fix").alias("fixes"))
+    )
+    joined = records.select(*key, "text").distinct().join(todo, key, "left").select(*key, "text", "drop", "cuts", "fixes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.to_pylist()
             new = []
-            for r in rows:
-                clean = r["text"] is None or not (r["drop"] or r["cut"] or r["fixes"])
-                new.append(r["text"] if clean else rebuild(r["text"], set(r["drop"] or ()), set(r["cut"] or ()), dict(r["fixes"] or ())))
+            for r in b.to_pylist():
+                clean = r["text"] is None or not (r["drop"] or r["cuts"] or r["fixes"])
+                new.append(r["text"] if clean else rebuild(r["text"], set(r["drop"] or ()), set(r["cuts"] or ()), {f["word"]: f["fix"] for f in r["fixes"] or ()}))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, pa.string())], names=[*key, "repaired"])
 
     return joined.mapInArrow(run, "record_table string, record_key string, repaired string")
