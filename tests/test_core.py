@@ -11,6 +11,7 @@ from msgflow.errors import EmptyWords, NamespaceMismatch, NotFound, status_code
 from msgflow.functions import mime, text
 from msgflow.operators import chunks, moderation, monitor, paging, routing, search, skew, specialists, spikes, store, validate
 
+SF = "/root/testdata/sf0.001"
 MSG = "id string, room bigint, author string, content string, at_ns bigint, at_ts timestamp, toxicity_score double, write_seq bigint, key_value string"
 
 
@@ -46,6 +47,22 @@ def test_joined_stats_equals_the_join(spark):
     assert rows(skew.heavy_keys(skew.key_stats(a, "k", "j", "j"), 5, 0.5), "key_value") == [("r",)]
 
 
+def test_heavy_keys_count_through_the_join(spark):
+    from msgflow.plans import skew_queries
+
+    plan = skew_queries.p2_found(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2
+
+
+def test_split_join_equals_the_join(spark):
+    left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 1), (2, 1), (None, 3), (4, 4)], "k int, v int")
+    right = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "e")], "k int, w string")
+    for least in (10, 100):
+        assert rows(skew.split_join(left, right, ["k"], least), "k", "v", "w") == rows(left.join(right, ["k"]), "k", "v", "w")
+    assert rows(skew.heavy_groups(left, ["k"], 10), "k") == [(1,)]
+    assert skew.split_join(left.limit(0), right, ["k"]).count() == 0
+
+
 def test_map_means_ignore_case_nulls_and_nan(spark):
     df = spark.createDataFrame([("n", {"A": 1.0, "b": float("nan")}), ("n", {"a": 3.0}), (None, {"a": 9.0}), ("n", None)], "k string, s map<string,double>")
     assert rows(skew.key_map_means(df, "k", "s"), "key_value", "score", "n_scores", "mean_score") == [("n", "a", 2, 2.0)]
@@ -54,6 +71,26 @@ def test_map_means_ignore_case_nulls_and_nan(spark):
 # --- implausible readings ----------------------------------------------------------------
 
 
+@given(st.lists(st.floats(-1e6, 1e6), min_size=1, max_size=70), st.integers(1, 5))
+@settings(max_examples=50, deadline=None)
+def test_details_and_approximation_add_up_to_the_series(x, levels):
+    details, rest = spikes.haar(np.array(x), levels)
+    assert len(details) == levels and np.allclose(sum(details) + rest, x, atol=1e-6)
+
+
+def test_missing_readings_do_not_cut_a_stuck_run(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    value = [float(k % 7) for k in range(2040)] + [3.5] * 8 + [None] * 70 + [3.5] * 8 + [float(k % 5) for k in range(40)]
+    df = spark.createDataFrame([(k, "n", t0 + dt.timedelta(seconds=30 * k), v, None, None, None) for k, v in enumerate(value)], "report_id long, node_id string, reported_at timestamp, cpu_percent double, ram_bytes long, queue_size long, max_capacity long")
+    got = rows(spikes.flag_readings(df).filter("kind = 'stuck'"), "report_id")
+    assert [r[0] for r in got] == [*range(2040, 2048), *range(2118, 2126)]
+
+
+def test_reports_without_a_time_are_held_to_bounds_only(spark):
+    df = spark.createDataFrame([(k, "n", None, 50.0 if k else 120.0, 5, 9, 10) for k in range(20)], "report_id long, node_id string, reported_at timestamp, cpu_percent double, ram_bytes long, queue_size long, max_capacity long")
+    assert rows(spikes.flag_readings(df), "report_id", "metric", "kind") == [(0, "cpu_percent", "impossible")]
+
+
 def series(n=400, seed=1):
     return 50 + np.random.default_rng(seed).normal(0, 0.5, n)
 
