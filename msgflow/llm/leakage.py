@@ -94,6 +94,7 @@ def decode(parts: list[bytes], n: np.ndarray) -> np.ndarray:
         here = start + k <= stop
         delta[here] |= (raw[start[here] + k].astype(np.int64) & 0x7F) << (7 * k)
     sums = np.cumsum(delta)
+    n = n[n > 0]
     first = np.cumsum(n) - n
     base = sums[first] - delta[first]
     return sums - np.repeat(base, n)

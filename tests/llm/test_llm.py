@@ -90,9 +90,31 @@ def test_defects_and_repair(spark):
     assert scanned.defects(df.limit(0)).count() == 0
 
 
-def test_anagram_hash_in_sql(spark):
-    df = spark.createDataFrame([("modern",), ("é",), ("",)], "word string").select("word", scanned.anagram_hash("word").alias("h"))
-    assert {r["word"]: r["h"] for r in df.collect()} == {w: scanned._hash(w) for w in ("modern", "é", "")}
+def test_anagram_hash_in_sql_is_that_in_python_on_all_of_unicode(spark):
+    rng = random.Random(5)
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    words = ["modern", "é", "", "日本語の文書", "\U0010ffff" * 300, "ᡀ" * 1000, *("".join(chr(rng.choice(points)) for _ in range(rng.randint(1, 30))) for _ in range(300))]
+    df = spark.createDataFrame([(w,) for w in words], "word string").select("word", scanned.anagram_hash("word").alias("h"))
+    assert {r["word"]: r["h"] for r in df.collect()} == {w: scanned._hash(w) for w in words}
+
+
+def test_pages_in_any_script(spark):
+    texts = ["日本語の文書 資料集 " * 200, "Ελληνικά κείμενα εδώ " * 100, "🙂🙃 🎉 " * 100, "x" * 200_000, "-\n-\n-", "\f\f"]
+    df = spark.createDataFrame([("document_pages", f"k{i}", f"k{i}", 1, t) for i, t in enumerate(texts)], "record_table string, record_key string, entity string, number int, text string")
+    assert scanned.defects(df).count() == 0
+    assert {r["record_key"]: r["repaired"] for r in scanned.repair(df).collect()} == {f"k{i}": t for i, t in enumerate(texts)}
+
+
+def test_headers_of_any_length(spark):
+    head = "Report of the joint commission on the storage of paper records, " * 3
+    df = spark.createDataFrame([("document_pages", f"h#{n}", "h", n, f"{head}\nline {'abcd'[n]} of the body\nand its end {'wxyz'[n]}") for n in (1, 2, 3)], "record_table string, record_key string, entity string, number int, text string")
+    assert rows(scanned.defects(df), "record_key", "defect") == [("h#1", "header"), ("h#2", "header"), ("h#3", "header")]
+
+
+def test_corrections_by_shuffle_are_the_same(spark, monkeypatch):
+    want = rows(scanned.defects(scans(spark)), "record_key", "defect")
+    monkeypatch.setattr(scanned, "MOST_BROADCAST", 0)
+    assert rows(scanned.defects(scans(spark)), "record_key", "defect") == want
 
 
 # --- personal data -----------------------------------------------------------------------------
@@ -189,20 +211,53 @@ def test_score_frame_and_rates(spark):
 # --- containers ------------------------------------------------------------------------------------
 
 
+def in_rounds(counts, capacity):
+    """The rounds of best_fit without Spark, range by range."""
+    import pandas as pd
+
+    docs, gaps, done, used = [(s, 0, n) for s, n in counts.items()], [], [], 0
+    while docs:
+        placed = []
+        if gaps:
+            state = packing._frame(doc=docs, gap=gaps)
+            swept = packing.sweep_borders(pd.concat([packing.sweep_range(g) for _, g in state.groupby(state["value"].map(packing._range))]))
+            placed, docs, gaps = (packing._runs(swept, k) for k in ("match", "doc", "gap"))
+        if not placed:
+            placed, docs, new, used = packing.open_containers(docs, used, capacity)
+            gaps += new
+        done += placed
+    return done, used
+
+
+def filled(matches):
+    fill, placed = Counter(), {}
+    for size, rank, n, container, each in matches:
+        for i in range(n):
+            fill[container + i // each] += size
+            assert (size, rank + i) not in placed
+            placed[size, rank + i] = container + i // each
+    return fill, placed
+
+
 @given(st.lists(st.integers(1, 64), max_size=200))
 @settings(max_examples=100, deadline=None)
-def test_plan_places_all_within_capacity(sizes):
+def test_rounds_place_all_within_capacity(sizes):
     counts = Counter(sizes)
-    table, used = packing.plan(counts, 64)
-    fill, placed = Counter(), Counter()
-    for size, rank, n, start in table.tolist():
-        placed[size] += n
-        for i in range(n):
-            fill[start + i] += size
-    assert placed == counts and all(v <= 64 for v in fill.values()) and len(fill) == used
+    matches, used = in_rounds(counts, 64)
+    fill, placed = filled(matches)
+    assert set(placed) == {(s, k) for s, n in counts.items() for k in range(n)}
+    assert all(v <= 64 for v in fill.values()) and sorted(fill) == list(range(used))
     assert used <= 1.25 * sum(sizes) / 64 + 2 or used <= len(sizes)
 
 
+def test_rounds_on_spark_are_the_same(spark):
+    rng = random.Random(3)
+    counts = Counter(rng.choice((rng.randint(1, 64), rng.randint(1, 9))) for _ in range(3000))
+    matches, used = packing.best_fit(spark, counts, 64)
+    assert (sorted(map(tuple, matches.tolist())), used) == (sorted(in_rounds(counts, 64)[0]), in_rounds(counts, 64)[1])
+    assert used <= sum(s * n for s, n in counts.items()) / 64 + 2
+
+
 def test_pack_frame(spark):
     data = [(i, "word " * n) for i, n in enumerate([1, 5, 9, 40, 0, 3, 3, 16, 16, 200])] + [(99, None), (0, "word ")]
     got = packing.pack(spark.createDataFrame(data, "doc_id long, text string"), capacity=16).collect()
@@ -254,6 +309,60 @@ def test_leaks_found_and_not_found(spark):
     assert leakage.find_leaks(d, i.limit(0)).count() == 0 and leakage.find_leaks(d.limit(0), i).count() == 0
 
 
+@given(st.lists(st.integers(-1, 5), max_size=400), st.integers(0, 400_000))
+@settings(max_examples=80, deadline=None)
+def test_postings_round_trip(terms, gap):
+    held = np.array([*terms, *([-1] * gap), 3], np.int32)
+    parts, n = leakage.encode(held, 6)
+    got = np.split(leakage.decode(parts, n), np.cumsum(n)[:-1])
+    assert all(np.array_equal(got[k], np.flatnonzero(held == k)) for k in range(6))
+
+
+def leaks(spark):
+    """Documents that hold cut-outs of items, with changed, dropped and added words; some fall short of a leak."""
+    rng = random.Random(11)
+    items = [(i, made(i, 70)) for i in range(40)]
+    docs = []
+    for k in range(200):
+        body = items[k % 40][1].split()
+        a = rng.randrange(30)
+        part = body[a : a + rng.randint(8, 40)]
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(part))
+            part[at : at + rng.randint(0, 1)] = ["other"] * rng.randint(0, 1)
+        docs.append((k, " ".join([made(1000 + k, 30), *part, made(2000 + k, 30)])))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+
+def test_blocks_and_pruning_do_not_change_leaks(spark, monkeypatch):
+    d, i = leaks(spark)
+    got = rows(leakage.find_leaks(d, i), "doc_id", "item_id", "matched", "kind")
+    assert len(got) > 60
+    assert rows(leakage.find_leaks(d, i, block_words=400), "doc_id", "item_id", "matched", "kind") == got
+    assert rows(leakage.find_leaks(d, i, rarest=None, agree=1), "doc_id", "item_id", "matched", "kind") == got
+    monkeypatch.setattr(leakage, "SEGMENT", 500)
+    assert rows(leakage.find_leaks(d.repartition(3), i), "doc_id", "item_id", "matched", "kind") == got
+
+
+def test_instructions_of_any_length_over_all_items(spark):
+    opening = made(500, 90)
+    items = [(k, f"{opening} {made(k, 40)}") for k in range(4)] + [(9, made(9, 30)), (10, f"{' '.join(opening.split()[:20])} {made(10, 30)}")]
+    df = spark.createDataFrame(items, "i long, t string")
+    assert dict(rows(leakage.instruction_lengths(df), "i", "skip")) == {0: 90, 1: 90, 2: 90, 3: 90, 9: 0, 10: 20}
+    corpus = spark.createDataFrame([(0, opening), (1, " ".join(f"{opening} {made(2, 40)}".split()[70:115]))], "doc_id long, text string")
+    named = df.withColumnsRenamed({"i": "item_id", "t": "text"})
+    for block in (60, 1_000_000):
+        assert rows(leakage.find_leaks(corpus, named, block_words=block), "doc_id", "item_id") == [(1, 2)]
+
+
+def test_index_of_empty_and_long_documents(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "..."), (4, "one two " * 300_000), (5, "two")], "doc_id long, text string")
+    got = {}
+    for r in leakage.build_index(df).filter("term is not null").collect():
+        got[r["term"]] = got.get(r["term"], 0) + r["n"]
+    assert got == {"one": 300_000, "two": 300_001}
+
+
 # --- encodings ---------------------------------------------------------------------------------------
 
 CLEAN = ["Le délégué a réparé la boîte près du café à la fin", "Der Überwacher prüft das Gerät für die Räume", "See § 12 of the manual. About 7 € per box. The “9” folder – naïve", "El buzón común señaló el año después", "ключ шифрования измеряет запись разговора и копия", "INFORMAÇÃO E ANÁLISE DO ANO", "┌──────┐\n│ used │\n└──────┘"]
