@@ -15,6 +15,7 @@ each reading leads back to one class string.  Hence two texts have the same form
 exactly if they look the same.
 """
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -22,12 +23,14 @@ from collections import Counter
 from collections.abc import Iterable
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from msgflow.session import fresh, materialize, require
+from msgflow.operators.skew import split_join
+from msgflow.session import materialize, require
 
 # Letters of other scripts that have the shape of the Latin letter above them.
 CYRILLIC_FOR = dict(zip("aceopxyijsdhqwl", "асеорхуіјѕԁһԛԝӏ")) | dict(zip("ABEKMHOPCTXIJSGQWY", "АВЕКМНОРСТХІЈЅԌԚԜҮ"))
@@ -279,28 +282,62 @@ def canonicalize(df: DataFrame, text: str = "content", out: str = "canonical", r
 SALT_ROWS = 5_000  # copies of one spelling that one task pairs
 
 
+def spellings(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``id, f, s``: digests of the consistent form and of the text as it stands, of every row that has a visible text; each text of a batch is read once."""
+    reader = train(df, text)
+    share = df.sparkSession.sparkContext.broadcast((reader.scores, reader.prior))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Reader(*share.value)
+        for b in batches:
+            coded = b.column(1).dictionary_encode()
+            texts = coded.dictionary.to_pylist()
+            forms = [own.canonical(t) for t in texts]
+            at = coded.indices.to_numpy(zero_copy_only=False)
+            seen = np.array([f != "" for f in forms], bool)[at]
+            held = pa.array(at[seen])
+            digests = [pa.array([hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in x], pa.binary()).take(held) for x in (forms, texts)]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(seen)), *digests], names=["id", "f", "s"])
+
+    base = df.filter(F.col(key).isNotNull() & (F.length(F.col(text)) > 0)).select(F.col(key).cast("string").alias("id"), F.col(text).cast("string"))
+    return base.mapInArrow(run, "id string, f binary, s binary")
+
+
+def _members(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``id, f, s`` of all rows whose form has several spellings, each row once."""
+    require(df, key, text)
+    rows = materialize(spellings(df, key, text))
+    several = rows.groupBy("f").agg(F.min("s").alias("a"), F.max("s").alias("b")).filter(F.col("a") != F.col("b")).select("f")
+    return materialize(split_join(rows, several, ["f"]).distinct())
+
+
+def lookalike_classes(df: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
+    """One row ``id, class_id, spelling_id, n_links`` per key and text that looks the same as a differently spelled one.
+
+    ``n_links`` is the number of rows with another spelling of the class: the pairs of ``lookalike_pairs`` without writing them out.
+    """
+    members = _members(df, key, text)
+    spelled = members.groupBy("f", "s").agg(F.count("*").alias("n"))
+    links = spelled.select("f", "s", (F.sum("n").over(Window.partitionBy("f")) - F.col("n")).alias("n_links"))
+    return split_join(members, links, ["f", "s"]).select("id", F.lower(F.hex("f")).alias("class_id"), F.lower(F.hex("s")).alias("spelling_id"), "n_links")
+
+
 def lookalike_pairs(df: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
     """Pairs of keys whose texts are different strings of the same form: ``id_a, id_b``, smaller first.
 
     Spellings, not rows, are paired first; a spelling with many copies is spread over
-    salted parts, so no task holds more than ``SALT_ROWS`` copies of one spelling at a
-    time, and no two copies of the same spelling ever meet.  NULL and empty texts have
+    salted parts on both sides, so a task pairs at most ``SALT_ROWS`` copies of one spelling with as many of
+    another at a time, and no two copies of the same spelling ever meet.  NULL and empty texts have
     no partner; a key that occurs several times (with the same or another text) counts once per text.
+    ``lookalike_classes`` gives the same links in one row per key.
     """
-    require(df, key, text)
-    base = df.filter(F.col(key).isNotNull() & (F.length(F.col(text)) > 0)).select(F.col(key).cast("string").alias("id"), F.col(text).cast("string").alias("content"))
-    forms = canonicalize(base, "content", "canonical").filter(F.col("canonical") != "")
-    rows = materialize(forms.select("id", F.unhex(F.md5("canonical")).alias("f"), F.unhex(F.md5("content")).alias("s")))
-    several = rows.groupBy("f").agg(F.min("s").alias("a"), F.max("s").alias("b")).filter(F.col("a") != F.col("b")).select("f")
-    members = rows.join(several, "f", "left_semi").distinct()
-    members = materialize(members)
-    spellings = members.groupBy("f", "s").agg(F.count("*").alias("n"))
-    left = spellings.select("f", F.col("s").alias("sa"), F.ceil(F.col("n") / SALT_ROWS).alias("parts"))
-    right = spellings.select("f", F.col("s").alias("sb"))
-    pairs = left.join(right, "f").filter(F.col("sa") < F.col("sb"))
-    salted = pairs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    size = spellings.select(F.col("f"), F.col("s"), F.ceil(F.col("n") / SALT_ROWS).alias("p"))
-    one = members.join(size, ["f", "s"]).select("f", F.col("s").alias("sa"), F.col("id").alias("ia"), F.pmod(F.xxhash64("id"), F.col("p")).alias("part"))
-    two = members.select("f", F.col("s").alias("sb"), F.col("id").alias("ib"))
-    out = salted.join(one, ["f", "sa", "part"]).join(two, ["f", "sb"]).filter(F.col("ia") != F.col("ib"))
+    members = _members(df, key, text)
+    size = members.groupBy("f", "s").agg(F.ceil(F.count("*") / SALT_ROWS).alias("p"))
+    one, two = (size.select("f", F.col("s").alias(f"s{x}"), F.col("p").alias(f"p{x}")) for x in "ab")
+    pairs = one.join(two, "f").filter(F.col("sa") < F.col("sb"))
+    cells = pairs.withColumn("parta", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pa") - 1))).withColumn("partb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pb") - 1)))
+    cells = cells.select("f", "sa", "parta", "sb", "partb")
+    salted = split_join(members, size, ["f", "s"]).select("f", "s", "id", F.pmod(F.xxhash64("id"), F.col("p")).alias("part"))
+    sides = [cells.join(salted.select("f", F.col("s").alias(f"s{x}"), F.col("part").alias(f"part{x}"), F.col("id").alias(f"i{x}")), ["f", f"s{x}", f"part{x}"]) for x in "ab"]
+    out = sides[0].join(sides[1], ["f", "sa", "parta", "sb", "partb"]).filter(F.col("ia") != F.col("ib"))
     return out.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()

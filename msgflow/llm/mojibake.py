@@ -13,16 +13,14 @@ others; they only don't teach.
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass
 from typing import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from msgflow.session import fresh, require
+from msgflow.session import materialize, require
 
 # Encodings in which text may have been read or meant.
 SINGLE_BYTE = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "koi8-r", "cp866", "iso8859-2")
@@ -40,6 +38,7 @@ LONE = 1e-5  # a lone character that is no rarer than this is not put down to a
 
 C1 = re.compile("[\x80-\x84\x86-\x9f]")
 LOST = "�"
+UNMEANT = re.compile("[\ufffd\x80-\x84\x86-\x9f]")
 
 
 def _byte_table(encoding: str) -> list[str]:
@@ -117,26 +116,50 @@ def _pair_counts(texts: list[str]) -> Counter:
     return Counter(dict(zip(keys.tolist(), n[at].tolist())))
 
 
-MAX_CHARS = 4096  # characters with statistics of their own; the rarest beyond it count as unseen
+DENSE = 1024  # most frequent characters whose pairs have a table; the other pairs are looked up in a sorted list
+LEAST_SHARE = 1e-9  # pairs rarer than this tell nothing beyond ``PAIR_PRIOR`` (they move a score by less than 0.05) and stay where they are
 
 
-@dataclass
 class PairModel:
-    """Improbability of pairs of characters; ``ids`` maps a code point to its row, 0 is any unseen one."""
+    """Improbability of pairs of characters, of all characters that the corpus has.
 
-    chars: np.ndarray
-    table: np.ndarray
-    shares: np.ndarray
+    ``chars`` are code points, the most frequent first, with their ``shares``; ``keys`` (first row << 32 | second row, rows
+    counted from 1, 0 is any unseen character) and ``joint`` hold the shares of the pairs that occur, in order.
+    """
 
-    def __post_init__(self) -> None:
+    def __init__(self, chars: np.ndarray, shares: np.ndarray, keys: np.ndarray, joint: np.ndarray):
+        self.chars, self.keys, self.joint = chars, keys, joint
+        self.shares = np.concatenate(([0.0], shares))
         self.ids = np.zeros(0x110000, np.int32)
-        self.ids[self.chars] = np.arange(1, len(self.chars) + 1)
-        self.flat = self.table.ravel()
+        self.ids[chars] = np.arange(1, len(chars) + 1)
+        self.logs = np.log(self.shares + CHAR_PRIOR)
+        size = min(len(chars), DENSE) + 1
+        table = np.full((size, size), PAIR_PRIOR)
+        a, b = keys >> 32, keys & 0xFFFFFFFF
+        small = (a < size) & (b < size)
+        table[a[small], b[small]] += joint[small]
+        self.size = size
+        self.flat = self._score(self.logs[:size, None], self.logs[None, :size], table).astype(np.float32).ravel()
         self.seen: dict = {}  # results for runs met before, while a document has shown no encoding yet
 
+    @staticmethod
+    def _score(first: np.ndarray, second: np.ndarray, joint: np.ndarray) -> np.ndarray:
+        return np.minimum(first + second - np.log(joint) - TYPICAL, MOST)
+
     def scores(self, codes: np.ndarray) -> np.ndarray:
         ids = self.ids.take(codes)
-        return self.flat.take(ids[:-1] * self.table.shape[1] + ids[1:])
+        a, b = ids[:-1], ids[1:]
+        if not len(a) or int(ids.max()) < self.size:
+            return self.flat.take(a * self.size + b)
+        dense = (a < self.size) & (b < self.size)
+        out = self.flat.take(np.where(dense, a * self.size + b, 0))
+        rare = np.flatnonzero(~dense)
+        a, b = a[rare].astype(np.int64), b[rare].astype(np.int64)
+        key = (a << 32) | b
+        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        joint = PAIR_PRIOR + np.where(self.keys[at] == key, self.joint[at], 0.0) if len(self.keys) else PAIR_PRIOR
+        out[rare] = self._score(self.logs[a], self.logs[b], joint)
+        return out
 
     def share(self, ch: str) -> float:
         """Share of a character in the documents that teach."""
@@ -148,23 +171,21 @@ class PairModel:
         return float(np.maximum(s, 0).sum())
 
 
-def model_from_counts(counts: dict[int, int]) -> PairModel:
-    ones: Counter = Counter()
-    for key, n in counts.items():
-        ones[key >> 21] += n
+def model_from_counts(pairs: dict[int, int], ones: dict[int, int] | None = None) -> PairModel:
+    """From counts of pairs and, where those leave out rare pairs, of characters (as the first of a pair)."""
+    if ones is None:
+        ones = Counter()
+        for key, n in pairs.items():
+            ones[key >> 21] += n
     total = sum(ones.values()) or 1
-    chars = np.array(sorted(c for c, _ in sorted(ones.items(), key=lambda x: (-x[1], x[0]))[:MAX_CHARS]), np.int64)
-    row = {int(c): i + 1 for i, c in enumerate(chars)}
-    p = np.full(len(chars) + 1, CHAR_PRIOR)
-    for c, i in row.items():
-        p[i] += ones[c] / total
-    joint = np.full((len(p), len(p)), PAIR_PRIOR)
-    for key, n in counts.items():
-        a, b = row.get(key >> 21), row.get(key & 0x1FFFFF)
-        if a and b:
-            joint[a, b] += n / total
-    table = np.minimum(np.log(p)[:, None] + np.log(p)[None, :] - np.log(joint) - TYPICAL, MOST)
-    return PairModel(chars, table.astype(np.float32), p - CHAR_PRIOR)
+    chars = np.array([c for c, _ in sorted(ones.items(), key=lambda x: (-x[1], x[0]))], np.int64)
+    row = np.zeros(0x200000, np.int64)
+    row[chars] = np.arange(1, len(chars) + 1)
+    key = np.fromiter(pairs, np.int64, len(pairs))
+    n = np.fromiter(pairs.values(), np.float64, len(pairs))
+    key = (row[key >> 21] << 32) | row[key & 0x1FFFFF]
+    order = np.argsort(key)
+    return PairModel(chars, np.array([ones[c] for c in chars.tolist()], np.float64) / total, key[order], n[order] / total)
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -299,8 +320,8 @@ def _pieces(text: str, a: int, b: int) -> list[tuple[int, int]]:
 
 
 def repair(text: str, model: PairModel, scores: np.ndarray | None = None) -> tuple[str, bool]:
-    """``(restored text, found)``; found also where nothing can be restored."""
-    found = bool(LOST in text or C1.search(text))
+    """``(restored text, found)``; found also where an improbable run holds what no encoding means, so that nothing can be restored."""
+    found = False
     first: list[tuple[str, str]] = []
     for turn in range(ROUNDS):
         if text.isascii():
@@ -311,6 +332,7 @@ def repair(text: str, model: PairModel, scores: np.ndarray | None = None) -> tup
         spans: list[tuple[int, int]] = []
         for a, b, value in segments(scores):
             if value >= LEAST_RUN:
+                found = found or bool(UNMEANT.search(text, a, b + 2))
                 a, b = _widen(text, a, b + 2)
                 if a < b and not (spans and a < spans[-1][1]):
                     spans.append((a, b))
@@ -347,10 +369,13 @@ def pair_counts(df: DataFrame, text: str) -> DataFrame:
 def train(df: DataFrame, text: str) -> PairModel:
     """Pair statistics of all documents that teach.
 
-    The driver gets at most one count per pair of distinct characters in use: bounded
-    by the alphabets, not by the documents.
+    The driver gets one count per character in use (at most some 150,000 are assigned) and one per pair
+    with a share of at least ``LEAST_SHARE``: bounded by the alphabets, not by the documents.
     """
-    return model_from_counts({r["pair"]: r["n"] for r in pair_counts(df, text).collect()})
+    counts = materialize(pair_counts(df, text))
+    ones = {r["c"]: r["n"] for r in counts.groupBy(F.shiftright("pair", 21).alias("c")).agg(F.sum("n").alias("n")).collect()}
+    kept = counts.filter(F.col("n") >= LEAST_SHARE * sum(ones.values())).toPandas()
+    return model_from_counts(dict(zip(kept["pair"].tolist(), kept["n"].tolist())), ones)
 
 
 def repair_encoding(df: DataFrame, key: str = "doc_id", text: str = "text", model: PairModel | None = None) -> DataFrame:
@@ -362,7 +387,7 @@ def repair_encoding(df: DataFrame, key: str = "doc_id", text: str = "text", mode
     """
     require(df, key, text)
     model = model or train(df, text)
-    share = df.sparkSession.sparkContext.broadcast((model.chars, model.table, model.shares))
+    share = df.sparkSession.sparkContext.broadcast((model.chars, model.shares[1:], model.keys, model.joint))
     kind = df.schema[key].dataType.simpleString()
     slim = df.select(F.col(key), F.col(text).cast("string").alias("t"))
 

@@ -13,6 +13,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, sf_dir, "messages"))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.lookalike_classes(table(spark, sf_dir, "messages"))
+
+
 def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.canonicalize(table(spark, sf_dir, "messages").select("id", "write_seq", "content"))
 
@@ -96,6 +100,6 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repair_encoding(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p3_found, p3_repaired, p5_found, p5_redacted, p6_found, p6_scores, p6_room_rates, p7_containers, p8_found, p8_passages, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_canonical, p3_found, p3_repaired, p5_found, p5_redacted, p6_found, p6_scores, p6_room_rates, p7_containers, p8_found, p8_passages, p9_found, p9_restored)}
 
 SQL: dict[str, str] = {}
