@@ -2,8 +2,8 @@
 
 A skip-chain conditional random field labels the tokens of a document.  Its chain
 has potentials over the classes of a token and its neighbours and over adjacent
-labels; skip edges join tokens of the same form (names, numbers) anywhere in the
-document and favour equal labels.  Marginals come from loopy message passing:
+labels; skip edges join similar tokens (names, numbers) anywhere in the
+document, with learned potentials over their two labels.  Marginals come from loopy message passing:
 forward-backward along the chains, then messages along the skip edges, in turn.
 
 The weights are trained here, piecewise, on lines made from ``TEMPLATES``.  Whether
@@ -19,21 +19,24 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from msgflow.llm.lookalike import IGNORABLE, looks
-from msgflow.session import require
+from msgflow.session import materialize, require
 
 LABELS = ("O", "email", "phone", "id_number", "address", "person")
 OFFSETS = (-4, -3, -2, -1, 0, 1, 2, 3)
 MIDDLING = 6e-6  # share of all words from which a capitalised word is a recurring name
 LISTED = 2e-6  # share of all words from which a word of the corpus has an entry (at most half a million)
 LOWER = 0.05  # share of small-letter writings that makes a word a common one
-SKIP = 2.5  # log potential of equal labels on a skip edge
-TURNS = 2  # rounds of messages along the skip edges
+TURNS = 8  # most rounds of messages along the skip edges
+SETTLED = 0.01  # change of the messages at which the rounds end
 NEAR = 40  # characters within which the word for a street stands by a number
-BLOCK = 512  # documents passed together
+BLOCK = 512  # documents passed together at most
+BLOCK_TOKENS = 60_000  # tokens, with padding, of the documents passed together (one document may have more)
+PART_CHARS = 2_000_000  # characters of the texts tokenized together (one text may have more)
 
 _AT = r"(?:@|\s?\(at\)\s?|\s?\[at\]\s?)"
 _DOT = r"(?:\.|\s?\(dot\)\s?|\s?\[dot\]\s?)"
@@ -190,8 +193,8 @@ def word_counts(frames: list[tuple[DataFrame, str]]) -> DataFrame:
 
 def learn_lexicon(frames: list[tuple[DataFrame, str]]) -> Lexicon:
     """Lexicon of the whole corpus; only words that make up at least ``LISTED`` of it reach the driver."""
-    counts = word_counts(frames)
-    total = sum(df.select(F.sum(F.size(F.split(F.col(c).cast("string"), " "))).alias("n")).first()["n"] or 0 for df, c in frames)
+    counts = materialize(word_counts(frames))
+    total = counts.filter("w = ''").agg(F.sum("low")).first()[0] or 0
     held = counts.filter(((F.col("low") + F.col("cap")) >= F.lit(LISTED * total)) & (F.col("w") != "")).collect()
     return lexicon({r["w"]: (r["low"], r["cap"]) for r in held}, total)
 
@@ -254,17 +257,43 @@ def _made_lines(seed: int = 7, rounds: int = 20) -> list[list[tuple[str, int]]]:
 
 
 class Field:
-    """Weights of the chain: ``window[offset][class]`` per label, and ``chain`` between adjacent labels."""
+    """Weights: ``window[offset][class]`` per label, ``chain`` between adjacent labels, ``skip`` between labels of similar tokens."""
 
-    def __init__(self, window: np.ndarray, chain: np.ndarray):
-        self.window, self.chain = window, chain
+    def __init__(self, window: np.ndarray, chain: np.ndarray, skip: np.ndarray):
+        self.window, self.chain, self.skip = window, chain, skip
         # a document all of whose tokens lean to O by more than adjacent labels can turn round is O throughout
         gain = float(np.max(chain) - np.min(chain[0, 0]))
         self.margin = 2 * max(gain, 0.0)
 
 
+def _skip_weights(lines: list[list[tuple[str, int]]], seed: int = 7, documents: int = 4000) -> np.ndarray:
+    """Log potentials of the labels at both ends of a skip edge, by counting, as for the chain.
+
+    Documents are made of several lines; a name or number of a kind of entity that occurs again in a document is the same one
+    more often than not, and a token outside entities now and then has the form of one.
+    """
+    rng = random.Random(seed)
+    linked = {"rare", "middling", "code"} | {c for c in CLASSES if c.startswith(("num", "tel", "id"))}
+    pairs = np.ones((len(LABELS), len(LABELS)))
+    single = np.ones(len(LABELS))
+    for _ in range(documents):
+        forms: dict[tuple, list[int]] = defaultdict(list)
+        for line in rng.sample(lines, 5):
+            for c, y in line:
+                if c in linked:
+                    single[y] += 1
+                    label = 0 if y and rng.random() < 0.05 else y  # a name that also is a place or a product
+                    forms[c, y, rng.randrange(3 if y else 30)].append(label)
+        for labels in forms.values():
+            for a, b in zip(labels, labels[1:]):
+                pairs[a, b] += 1
+                pairs[b, a] += 1
+    share = single / single.sum()
+    return np.log(pairs / pairs.sum() / (share[:, None] * share[None, :])).clip(-4.0, 4.0)
+
+
 def train_field(steps: int = 160) -> Field:
-    """Piecewise training: softmax over the window of classes, counted chain of labels."""
+    """Piecewise training: softmax over the window of classes, counted chain of labels and skip edges."""
     lines = _made_lines()
     reach = max(abs(o) for o in OFFSETS)
     ids, labels = [], []
@@ -291,7 +320,7 @@ def train_field(steps: int = 160) -> Field:
         w -= 0.08 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     share = chain / chain.sum(axis=1, keepdims=True)
     prior = chain.sum(axis=0) / chain.sum()
-    return Field(w, 0.5 * np.log(share / prior[None, :]))
+    return Field(w, 0.5 * np.log(share / prior[None, :]), _skip_weights(lines))
 
 
 # --- inference -------------------------------------------------------------------------
@@ -316,6 +345,15 @@ def marginals(unary: np.ndarray, length: np.ndarray, chain: np.ndarray) -> np.nd
     return out - _lse(out, 2)[:, :, None]
 
 
+def similar(token: str) -> str:
+    """Key under which skip edges join tokens: case, accents, an ending of possession and the separators of numbers don't matter."""
+    t = token.lower()
+    if t.isascii() and t.isalpha():
+        return t
+    t = re.sub(r"['’]s$", "", t)
+    return "".join(c for c in unicodedata.normalize("NFKD", t) if c.isalnum())
+
+
 class Tagger:
     def __init__(self, field: Field, lex: Lexicon):
         self.field, self.lex = field, lex
@@ -361,7 +399,7 @@ class Tagger:
         a = 0
         while a < len(live):
             b = a + 1
-            while b < len(live) and b - a < BLOCK and sizes[live[b]] <= 1.3 * sizes[live[a]] + 4:
+            while b < len(live) and b - a < BLOCK and sizes[live[b]] <= 1.3 * sizes[live[a]] + 4 and (b - a + 1) * sizes[live[b]] <= BLOCK_TOKENS:
                 b += 1
             block = live[a:b]
             a = b
@@ -376,7 +414,7 @@ class Tagger:
         return out
 
     def _pass(self, u: np.ndarray, length: np.ndarray, tokens: list, classes: list) -> np.ndarray:
-        """Loopy message passing: chains, then skip edges, ``TURNS`` times."""
+        """Loopy message passing: chains, then skip edges, until the messages settle (``TURNS`` rounds at most)."""
         chain = self.field.chain
         log = marginals(u, length, chain)
         rows, cols, group = [], [], []
@@ -385,7 +423,7 @@ class Tagger:
             forms: dict[str, list[int]] = defaultdict(list)
             for i, (m, c) in enumerate(zip(ms, cs.tolist())):
                 if c in linked or m.lastgroup in ("num", "code") and m.end() - m.start() > 5:
-                    forms[m.group().lower()].append(i)
+                    forms[similar(m.group())].append(i)
             for f, where in forms.items():
                 if len(where) > 1:
                     g = len(group) and group[-1] + 1
@@ -396,13 +434,16 @@ class Tagger:
             return log.argmax(axis=2)
         rows, cols, group = np.array(rows), np.array(cols), np.array(group)
         sent = np.zeros((len(rows), len(LABELS)))
+        skip = np.exp(self.field.skip)
         for _ in range(TURNS):
             belief = log[rows, cols] - sent  # without what came along the skip edges
             p = np.exp(belief - _lse(belief, 1)[:, None])
             whole = np.stack([np.bincount(group, p[:, k]) for k in range(len(LABELS))], axis=1)
             n = np.bincount(group)
             others = (whole[group] - p) / np.maximum(n[group] - 1, 1)[:, None]
-            sent = np.log(1 + others * (np.exp(SKIP) - 1))
+            before, sent = sent, np.log(others @ skip)
+            if np.abs(sent - before).max() < SETTLED:
+                break
             v = u.copy()
             np.add.at(v, (rows, cols), sent)
             log = marginals(v, length, chain)
@@ -461,6 +502,19 @@ def visible(text: str) -> str:
     return text
 
 
+def parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """``(first row, rows)`` of the parts of a batch with at most 2,000 texts and, but for a single text, ``PART_CHARS`` bytes."""
+    sizes = [n or 0 for n in pc.binary_length(texts).to_pylist()]
+    lo = total = 0
+    for k, n in enumerate(sizes):
+        if k > lo and (total + n > PART_CHARS or k - lo >= 2000):
+            yield lo, k - lo
+            lo, total = k, 0
+        total += n
+    if len(sizes) > lo:
+        yield lo, len(sizes) - lo
+
+
 def find_personal(df: DataFrame, key: str, text: str, lex: Lexicon, field: Field | None = None, out: str = "redacted") -> DataFrame:
     """``key, kinds array<string>, redacted`` of every row with a text.
 
@@ -469,20 +523,21 @@ def find_personal(df: DataFrame, key: str, text: str, lex: Lexicon, field: Field
     """
     require(df, key, text)
     field = field or train_field()
-    share = df.sparkSession.sparkContext.broadcast((field.window, field.chain, lex.kinds))
+    share = df.sparkSession.sparkContext.broadcast((field.window, field.chain, field.skip, lex.kinds))
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window, chain, kinds = share.value
-        own = Tagger(Field(window, chain), Lexicon(kinds))
+        window, chain, skip, kinds = share.value
+        own = Tagger(Field(window, chain, skip), Lexicon(kinds))
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                part = b.slice(lo, 2000)
-                texts = [t if t is None or t.isascii() else visible(t) for t in part.column(1).to_pylist()]
-                spans = own.tag([t or "" for t in texts])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([sorted({s[2] for s in x}) for x in spans], pa.list_(pa.string())), pa.array([None if t is None else redact(t, x) if x else t for t, x in zip(texts, spans)], pa.string())],
-                    names=[key, "kinds", out],
-                )
+            for lo, n in parts(b.column(1)):
+                part = b.slice(lo, n)
+                coded = part.column(1).dictionary_encode()  # a text that recurs in the batch is labelled once
+                texts = [t if t.isascii() else visible(t) for t in coded.dictionary.to_pylist()]
+                spans = own.tag(texts)
+                found = pa.array([sorted({s[2] for s in x}) for x in spans] + [[]], pa.list_(pa.string()))
+                new = pa.array([redact(t, x) if x else t for t, x in zip(texts, spans)] + [None], pa.string())
+                at = coded.indices.fill_null(len(texts))
+                yield pa.RecordBatch.from_arrays([part.column(0), found.take(at), new.take(at)], names=[key, "kinds", out])
 
     return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, kinds array<string>, `{out}` string")

@@ -24,7 +24,13 @@ from msgflow.llm.lookalike import looks
 from msgflow.session import require
 
 MAX_CASES = 20_000  # bound on the labelled rows that reach the driver; of more, those first by the hash of their text
-IDENTITY = ("orrish people", "talvish migrants", "veldans", "kestrians", "marsh folk")  # terms for groups of people, swapped for one another
+# Terms for groups of people, swapped for one another; those that the labelled lines name are learned and added.
+IDENTITY = (
+    "women", "men", "girls", "boys", "old people", "young people", "immigrants", "migrants", "refugees", "foreigners", "gay people", "lesbians", "trans people",
+    "black people", "white people", "asians", "africans", "europeans", "americans", "arabs", "jews", "muslims", "christians", "hindus", "buddhists", "atheists", "disabled people", "poor people",
+)
+LEAST_NAMED = 3  # lines in which a group must be named to be learned
+SWAPS = 6  # other groups that each named one is swapped for, in turn
 SWAP_WEIGHT = 2.0
 RIDGE = 2e-3
 STEPS = 400
@@ -117,10 +123,48 @@ class Model:
         return out
 
 
+_NAME = re.compile(r"(?<=[^\W\d_] )[A-Z][a-z]{3,}")
+
+
+def named_groups(cases: list[tuple[str, bool, str | None]], least: int = LEAST_NAMED) -> list[str]:
+    """Groups of people that labelled lines name, from ``(text, is malicious, category)``; without categories all malicious lines are looked at.
+
+    A group has a name (capital inside a line) or is a fixed pair of words, it is named in hateful lines
+    (a pair in harmless ones too), and lines that are abusive or sexual in another way don't name it.
+    """
+    hateful, harmless, other = (
+        [t for t, y, c in cases if t and y and c in (None, "hate")],
+        [t for t, y, _ in cases if t and not y],
+        [t for t, y, c in cases if t and y and c not in (None, "hate")],
+    )
+    split = lambda lines: [re.findall(r"[^\W\d_]+", t.lower()) for t in lines]
+    bad, good = split(hateful), split(harmless)
+    words = Counter(w for ws in bad + good for w in ws)
+    pairs = Counter(p for ws in bad for p in zip(ws, ws[1:]))
+    fine = Counter(p for ws in good for p in zip(ws, ws[1:]))
+    elsewhere = {w for ws in split(other) for w in ws}
+    names = Counter(w.lower() for t in hateful for w in set(_NAME.findall(t)))
+    fixed = {(a, b): n for (a, b), n in (pairs + fine).items() if n >= 0.9 * words[a] and min(len(a), len(b)) > 3}
+    out = set()
+    for a, b in fixed:
+        if pairs[a, b] >= least and fine[a, b] and a not in elsewhere:
+            out.add(f"{a} {b}")
+    for w, n in names.items():
+        if n >= least and w not in elsewhere:
+            tail = next((b for a, b in fixed if a == w), "")
+            out.add(f"{w} {tail}".strip())
+    return sorted(out)
+
+
 def swapped(text: str, terms: tuple[str, ...] = IDENTITY) -> list[str]:
-    """The text with the group it names replaced by each other one."""
+    """The text with each group it names replaced by ``SWAPS`` other ones."""
     low = text.lower()
-    return [re.sub(re.escape(a), b, low) for a in terms if a in low for b in terms if b != a]
+    out = []
+    for k, a in enumerate(terms):
+        if a in low and (m := re.compile(rf"(?<![^\W_]){re.escape(a)}(?![^\W_])")).search(low):
+            turned = terms[k + 1 :] + terms[:k]
+            out += [m.sub(b, low) for b in turned[:SWAPS] if b != a]
+    return out
 
 
 def _fit(rows: list[list], labels: np.ndarray, pairs: list[tuple[list, list]], weight: np.ndarray) -> tuple[dict, float]:
@@ -188,12 +232,25 @@ def fit(cases: list[tuple[str, bool]], listed: list[str] = (), terms: tuple[str,
     return Model(masked, model.bias, words)
 
 
-def train(cases: DataFrame, listed: DataFrame | None = None, *, text: str = "text", label: str = "is_malicious", word: str = "word", max_cases: int = MAX_CASES) -> Model:
-    """Model from at most ``max_cases`` labelled rows (a bounded sample, by the hash of the text) and the moderators' list."""
+MOST_LISTED = 1_000_000  # words of the moderators' list that every task can hold; a longer one is refused, not cut
+
+
+def train(cases: DataFrame, listed: DataFrame | None = None, *, text: str = "text", label: str = "is_malicious", category: str = "category", word: str = "word", max_cases: int = MAX_CASES, terms: tuple[str, ...] = IDENTITY) -> Model:
+    """Model from at most ``max_cases`` labelled rows (a bounded sample, by the hash of the text) and the whole moderators' list.
+
+    ``terms`` are groups of people; those that the labelled rows name are added.
+    """
     require(cases, text, label)
-    rows = cases.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).cast("string").alias("t"), F.col(label).cast("boolean").alias("y")).orderBy(F.xxhash64("t"), "t", "y").limit(max_cases).collect()
-    words = [r[0] for r in listed.select(word).distinct().orderBy(word).limit(max_cases).collect()] if listed is not None else []
-    return fit([(r["t"], r["y"]) for r in rows], words)
+    kind = F.col(category).cast("string") if category in cases.columns else F.lit(None).cast("string")
+    rows = cases.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).cast("string").alias("t"), F.col(label).cast("boolean").alias("y"), kind.alias("c")).orderBy(F.xxhash64("t"), "t", "y", "c").limit(max_cases).collect()
+    words: list[str] = []
+    if listed is not None:
+        held = listed.select(word).distinct()
+        if held.count() > MOST_LISTED:
+            raise ValueError(f"more than {MOST_LISTED} listed words")
+        words = [r[0] for r in held.orderBy(word).collect()]
+    groups = named_groups([(r["t"], r["y"], r["c"]) for r in rows])
+    return fit([(r["t"], r["y"]) for r in rows], words, tuple(dict.fromkeys([*groups, *terms])))
 
 
 def score_texts(df: DataFrame, model: Model, text: str = "content", out: str = "content_score") -> DataFrame:
