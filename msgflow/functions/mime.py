@@ -34,6 +34,32 @@ def matches(detected: Column, expected: Column) -> Column:
     return F.coalesce(base_type(detected) == base_type(expected), F.lit(False))
 
 
+def match_type(detected: Column, expected: Column) -> Column:
+    """``struct<mime, ok>``: the expected type, and whether the detected one is it."""
+    return F.struct(expected.alias("mime"), matches(detected, expected).alias("ok"))
+
+
+def _among(mime: Column, types: tuple[str, ...]) -> Column:
+    return F.coalesce(base_type(mime).isin(*types), F.lit(False))
+
+
+def is_pdf(mime: Column) -> Column:
+    return _among(mime, PDF)
+
+
+def is_image(mime: Column) -> Column:
+    return _among(mime, IMAGE)
+
+
+def is_audio(mime: Column) -> Column:
+    return _among(mime, AUDIO)
+
+
+def is_video(mime: Column) -> Column:
+    """Word for word: parameters are not left out here."""
+    return F.coalesce(mime.isin(*VIDEO), F.lit(False))
+
+
 def is_authorized(mime: Column) -> Column:
     return F.coalesce(base_type(mime).isin(*AUTHORIZED), F.lit(False))
 

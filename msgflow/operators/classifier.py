@@ -1,5 +1,6 @@
 """Toxicity of a message from hashed words: one feature function for training and use."""
 
+import string
 from functools import lru_cache
 from typing import Iterator
 
@@ -8,13 +9,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from msgflow.functions.text import FNV_OFFSET, FNV_PRIME
+from msgflow.functions.text import FNV_OFFSET, FNV_PRIME, fnv1a
 
 TOXIC = 0.35
 PER_CLASS = 5000
+PRIORITY_TIMES = 2000  # times that a row which must be learned is repeated
 
 
 @lru_cache(maxsize=1 << 18)
@@ -45,8 +47,31 @@ def training_rows(cases: DataFrame, label: str, per_class: int = PER_CLASS, seed
     """At most ``per_class`` rows of each class, by a seeded hash, so the sample is the same each time."""
 
 
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), "text"), "text")
-    return cases.filter(F.col("text").isNotNull() & F.col(label).isNotNull()).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_class).drop("_r")
+    known = cases.filter(F.col("text").isNotNull() & F.col(label).isNotNull())
+    rank = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 40))
+    parts = []
+    for value, n in sorted((r[0], r[1]) for r in known.groupBy(label).count().collect()):
+        mine = known.filter(F.col(label) == value)
+        # a share by hash first, wider than needed, so that the rows sorted are about as many as are taken
+        few = mine.filter(rank < int((1 << 40) * min(1.0, 2.0 * per_class / n)))
+        parts.append((few if few.count() >= min(n, per_class) else mine).orderBy(rank, "text").limit(per_class))
+    out = parts[0] if parts else known
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def with_priority(rows: DataFrame, urgent: DataFrame, times: int = PRIORITY_TIMES) -> DataFrame:
+    """Training rows and, each ``times`` over, the rows that must be learned (of the same columns), in a seeded order."""
+    repeated = urgent.select(*rows.columns).withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("_n")
+    return rows.unionByName(repeated).orderBy(F.rand(42))
+
+
+def count_features(text: Column, size: int = 1024) -> Column:
+    """``array<struct<id, n>>``: how often each hashed word occurs, after ASCII punctuation was taken out."""
+    bare = F.translate(F.lower(text), string.punctuation, "")
+    ids = F.transform(F.filter(F.split(bare, r"\s+"), lambda w: w != ""), lambda w: fnv1a(w) % size)
+    return F.transform(F.array_sort(F.array_distinct(ids)), lambda i: F.struct(i.alias("id"), F.size(F.filter(ids, lambda x: x == i)).alias("n")))
 
 
 def fit(cases: DataFrame, text: str = "text", label: str = "is_malicious", size: int = 1024) -> LogisticRegressionModel:

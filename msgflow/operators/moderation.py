@@ -4,9 +4,10 @@ import unicodedata
 from functools import lru_cache
 from typing import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from msgflow.errors import EmptyWords
 from msgflow.functions.text import LEET, LEET_LETTERS, normalize_leet
@@ -97,17 +98,26 @@ def load_words(words: DataFrame, column: str = "word") -> list[str]:
 
 
 def censor(df: DataFrame, patterns: list[str], text: str = "content", mask: str = "*") -> DataFrame:
-    """``df`` with ``sanitized`` and ``censored_words``.  NULL stays NULL with no words."""
+    """``df`` with ``sanitized`` and ``censored_words``.  NULL stays NULL with no words; columns of those names are replaced.
+
+    Each text is examined once, whatever is filtered on the result later; a text that recurs in a batch is examined once.
+    """
     share = df.sparkSession.sparkContext.broadcast(patterns)
+    kept = df.drop("sanitized", "censored_words")
+    names = kept.columns
 
-    @F.pandas_udf("struct<sanitized:string,censored_words:array<string>>")
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Automaton(share.value)
-        for s in it:
-            done = [(None, []) if t is None else censor_text(t, machine, mask) for t in s]
-            yield pd.DataFrame({"sanitized": [d[0] for d in done], "censored_words": [d[1] for d in done]})
+        for b in batches:
+            coded = b.column(b.num_columns - 1).dictionary_encode()
+            done = [censor_text(t, machine, mask) for t in coded.dictionary.to_pylist()]
+            at = coded.indices.fill_null(len(done))
+            new = pa.array([d[0] for d in done] + [None], pa.string()).take(at)
+            words = pa.array([d[1] for d in done] + [[]], pa.list_(pa.string())).take(at)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], new, words], names=[*names, "sanitized", "censored_words"])
 
-    return df.withColumn("_c", run(F.col(text))).withColumns({"sanitized": F.col("_c.sanitized"), "censored_words": F.col("_c.censored_words")}).drop("_c")
+    schema = T.StructType([*kept.schema.fields, T.StructField("sanitized", T.StringType()), T.StructField("censored_words", T.ArrayType(T.StringType()))])
+    return kept.withColumn("_text", F.col(text).cast("string")).mapInArrow(run, schema)
 
 
 def word_hits(censored: DataFrame, words: str = "censored_words") -> DataFrame:
@@ -115,7 +125,16 @@ def word_hits(censored: DataFrame, words: str = "censored_words") -> DataFrame:
     return censored.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("hits"))
 
 
+def within(df: DataFrame, now: Column, hours: int = 24, at: str = "at_ts") -> DataFrame:
+    """Rows of the last hours before ``now``: filter with it before the texts are censored."""
+    return df.filter((F.col(at) > now - F.expr(f"interval {hours} hours")) & (F.col(at) <= now))
+
+
+def has_hit(words: str = "censored_words") -> Column:
+    """Whether a listed word was found."""
+    return F.coalesce(F.size(words) > 0, F.lit(False))
+
+
 def top_words(censored: DataFrame, now: Column, k: int = 10, hours: int = 24, at: str = "at_ts") -> DataFrame:
     """The k words found most often in the last hours before ``now``."""
-    recent = censored.filter((F.col(at) > now - F.expr(f"interval {hours} hours")) & (F.col(at) <= now))
-    return word_hits(recent).orderBy(F.desc("hits"), "word").limit(k)
+    return word_hits(within(censored, now, hours, at)).orderBy(F.desc("hits"), "word").limit(k)

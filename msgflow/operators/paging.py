@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from msgflow.operators.store import latest_fixed, latest_matching
 from msgflow.session import require
 
 
@@ -32,19 +33,28 @@ def newest_page(df: DataFrame, at: str, key: str, limit: int | None = None, curs
     return page if limit is None else page.limit(limit)
 
 
+def room_messages(log: DataFrame, room: int, cursor: str | None = None) -> DataFrame:
+    """Messages of a room up to a cursor, redelivered ones once.  Room and time of a message never change, so both reach the scan."""
+    wanted = F.col("room") == room
+    if cursor:
+        wanted = wanted & (F.col("at_ns") <= split_cursor(cursor)[0])
+    return latest_fixed(log, "id", "write_seq", wanted)
+
+
+def namespace_analyses(log: DataFrame, namespace: str) -> DataFrame:
+    """Records whose last version is in the namespace."""
+    return latest_matching(log, "entity_id", "write_seq", F.col("namespace") == namespace)
+
+
 def history(messages: DataFrame, room: int, limit: int | None = 5, cursor: str | None = None) -> DataFrame:
     """Message history of a room: ``id, sender_id, content, created_at_ns, cursor``."""
     page = newest_page(messages.filter(F.col("room") == room), "at_ns", "id", limit, cursor)
     return page.select("id", F.col("author").alias("sender_id"), "content", F.col("at_ns").alias("created_at_ns"), cursor_of(F.col("at_ns"), F.col("id")).alias("cursor"))
 
 
-def next_cursor(page: DataFrame, limit: int) -> str | None:
-    """Cursor after a page that was read with one row more than ``limit``; NULL on the last page."""
-    rows = page.limit(limit + 1).collect()
-    if len(rows) <= limit:
-        return None
-    last = rows[limit - 1]
-    return f"{last['at_ns']:019d}:{last['entity_id']}"
+def next_cursor(rows: list, limit: int) -> str | None:
+    """Cursor after a page that was read with one row more than ``limit``; None on the last page."""
+    return f"{rows[limit - 1]['at_ns']:019d}:{rows[limit - 1]['entity_id']}" if len(rows) > limit else None
 
 
 def next_batch(tasks: DataFrame, n: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from msgflow.functions.mime import AUDIO, IMAGE, PDF, base_type
+from msgflow.operators.skew import split_join
 
 # Which specialist takes which media types.
 CAPABILITIES = {"pdf": PDF, "audio": AUDIO, "image": IMAGE}
@@ -17,8 +18,8 @@ def room_sinks(members: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def fan_out(events: DataFrame, sinks: DataFrame, room: str = "room", key: str = "id") -> DataFrame:
-    """``key, sink``: every event to all sinks of its room, and to the disk."""
-    to_rooms = events.select(key, room).join(sinks.select(F.col("room").alias(room), "sink"), room).select(key, "sink")
+    """``key, sink``: every event to all sinks of its room, and to the disk.  The events of a busy room stay where they are; the sinks of such rooms are sent to them."""
+    to_rooms = split_join(events.select(key, room), sinks.select(F.col("room").alias(room), "sink"), [room]).select(key, "sink")
     return to_rooms.unionByName(events.select(key, F.lit("disk").alias("sink")))
 
 
@@ -35,6 +36,23 @@ def unsubscribe(members: DataFrame, sessions: DataFrame, participant: str, room:
     return m, sessions.filter(F.col("participant_id") != participant)
 
 
+def register_rooms(rooms: DataFrame, new: DataFrame) -> DataFrame:
+    """``rooms`` with those of ``new`` that aren't there yet; registering one twice changes nothing."""
+    return rooms.unionByName(new.select(*rooms.columns).dropDuplicates(["room"]).join(rooms.select("room"), "room", "left_anti").select(*rooms.columns))
+
+
+def known_rooms(messages: DataFrame, rooms: DataFrame) -> DataFrame:
+    """``messages`` with ``room_known``; none is dropped."""
+    known = rooms.select(F.col("room").alias("_room")).distinct().withColumn("_known", F.lit(True))
+    return messages.join(known, F.col("room") == F.col("_room"), "left").withColumn("room_known", F.coalesce("_known", F.lit(False))).drop("_room", "_known")
+
+
+def join_room(rooms: DataFrame, members: DataFrame, sessions: DataFrame, participant: str, room: int, sink: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Registers the room and subscribes the participant."""
+    new = rooms.sparkSession.createDataFrame([(room,)], "room bigint")
+    return register_rooms(rooms.select("room"), new), *subscribe(members, sessions, participant, room, sink)
+
+
 def capable(mime: str) -> F.Column:
     """Specialists for a media type: a lookup in a fixed table, so no join is needed."""
     kind = base_type(F.col(mime))

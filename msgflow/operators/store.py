@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from msgflow.errors import NamespaceMismatch, NotFound
@@ -21,6 +21,23 @@ def latest(df: DataFrame, key: str, seq: str) -> DataFrame:
     return df.groupBy(key).agg(packed).select(*(F.col(key) if c == key else F.col(f"_row.`{c}`").alias(c) for c in df.columns))
 
 
+def latest_fixed(df: DataFrame, key: str, seq: str, condition: Column) -> DataFrame:
+    """The last row of every key, of those that meet a condition on columns that all versions of a key share: it is pushed to the scan."""
+    return latest(df.filter(condition), key, seq)
+
+
+def latest_matching(df: DataFrame, key: str, seq: str, condition: Column) -> DataFrame:
+    """The last row of every key, where it meets the condition.
+
+    Whole rows are read and shuffled only where the condition holds; of the others no more than key and
+    number are read, to see whether a later version has taken the row's place.
+    """
+    require(df, key, seq)
+    found = latest(df.filter(condition), key, seq)
+    newest = df.select(F.col(key).alias("_k"), F.col(seq).alias("_s")).groupBy("_k").agg(F.max("_s").alias("_s"))
+    return found.join(newest, (F.col(key) == F.col("_k")) & (F.col(seq) == F.col("_s"))).drop("_k", "_s")
+
+
 def upsert(stored: DataFrame, incoming: DataFrame, key: str, seq: str) -> DataFrame:
     return latest(stored.unionByName(incoming, allowMissingColumns=True), key, seq)
 

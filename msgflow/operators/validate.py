@@ -35,6 +35,23 @@ def check_requests(df: DataFrame) -> DataFrame:
     return df.withColumn("reasons", request_reasons())
 
 
+def source_type(value: Column) -> Column:
+    """One of ``SOURCE_TYPES``, by name or number; anything else is unspecified."""
+    by_number = F.try_element_at(F.array(*map(F.lit, SOURCE_TYPES)), value.try_cast("int") + 1)
+    name = F.upper(F.trim(value.cast("string")))
+    return F.when(name.isin(*SOURCE_TYPES), name).otherwise(F.coalesce(F.when(value.try_cast("int") >= 0, by_number), F.lit(SOURCE_TYPES[0])))
+
+
+def priority(value: Column) -> Column:
+    """0 (high) or 1 (normal); an unknown priority is normal."""
+    return F.when(F.upper(F.trim(value.cast("string"))).isin("0", "HIGH"), 0).otherwise(1)
+
+
+def download_ok(file_id: Column, path: Column) -> Column:
+    """A download request names a file and a path."""
+    return (F.trim(F.coalesce(file_id.cast("string"), F.lit(""))) != "") & (F.trim(F.coalesce(path, F.lit(""))) != "") & (F.length(path) <= MAX_PATH)
+
+
 def file_error(size: Column, regular: Column, exists: Column, readable: Column, limit: int = MAX_FILE_BYTES) -> Column:
     """Error code of a download, NULL if it may go ahead."""
     return (

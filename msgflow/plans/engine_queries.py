@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from msgflow.functions import display, mime, text
 from msgflow.operators import chunks, moderation, monitor, paging, routing, search, store, validate
-from msgflow.session import table
+from msgflow.session import checkpoint_dir, table
+from msgflow.sources.files import key_range
 
 ROOM = 7114
 NAMESPACE = "chat:7114"
@@ -48,27 +51,28 @@ CUR = "lpad(CAST(at_ns AS VARCHAR), 19, '0') || ':' || id AS cursor"
 
 @query(f"SELECT id, author AS sender_id, content, at_ns AS created_at_ns, {CUR} FROM {LATEST_M} WHERE room = {ROOM} ORDER BY at_ns DESC, id DESC LIMIT 5")
 def history_page(spark, d):
-    return paging.history(_distinct_messages(spark, d), ROOM, 5)
+    return paging.history(paging.room_messages(_t(spark, d, "messages"), ROOM), ROOM, 5)
 
 
 @query(f"SELECT id, author AS sender_id, content, at_ns AS created_at_ns, {CUR} FROM {LATEST_M} WHERE room = {ROOM} AND at_ns < {CURSOR_NS} ORDER BY at_ns DESC, id DESC LIMIT 5")
 def history_page_cursor(spark, d):
-    return paging.history(_distinct_messages(spark, d), ROOM, 5, f"{CURSOR_NS:019d}:")
+    cursor = f"{CURSOR_NS:019d}:"
+    return paging.history(paging.room_messages(_t(spark, d, "messages"), ROOM, cursor), ROOM, 5, cursor)
 
 
 @query(f"SELECT id, author AS sender_id, content, at_ns AS created_at_ns, {CUR} FROM {LATEST_M} WHERE room = {ROOM}")
 def history_all(spark, d):
-    return paging.history(_distinct_messages(spark, d), ROOM, None)
+    return paging.history(paging.room_messages(_t(spark, d, "messages"), ROOM), ROOM, None)
 
 
 @query(f"SELECT entity_id, at_ns, summary, write_seq FROM {LATEST_A} WHERE namespace = '{NAMESPACE}' ORDER BY at_ns DESC, entity_id DESC LIMIT 50")
 def analysis_scan_page(spark, d):
-    return paging.newest_page(_latest_analyses(spark, d).filter(F.col("namespace") == NAMESPACE), "at_ns", "entity_id", 50).select("entity_id", "at_ns", "summary", "write_seq")
+    return paging.newest_page(paging.namespace_analyses(_t(spark, d, "analyses"), NAMESPACE), "at_ns", "entity_id", 50).select("entity_id", "at_ns", "summary", "write_seq")
 
 
 @query(f"SELECT entity_id, at_ns, summary, write_seq FROM {LATEST_A} WHERE namespace = '{NAMESPACE}' AND at_ns < {CURSOR_NS} ORDER BY at_ns DESC, entity_id DESC LIMIT 50")
 def analysis_scan_cursor(spark, d):
-    return paging.newest_page(_latest_analyses(spark, d).filter(F.col("namespace") == NAMESPACE), "at_ns", "entity_id", 50, f"{CURSOR_NS:019d}:").select("entity_id", "at_ns", "summary", "write_seq")
+    return paging.newest_page(paging.namespace_analyses(_t(spark, d, "analyses"), NAMESPACE), "at_ns", "entity_id", 50, f"{CURSOR_NS:019d}:").select("entity_id", "at_ns", "summary", "write_seq")
 
 
 @query("SELECT entity_id, namespace, at_ns, write_seq FROM analyses WHERE entity_id = (SELECT min(entity_id) FROM analyses) ORDER BY write_seq DESC LIMIT 1")
@@ -105,9 +109,20 @@ def _bm25(terms: list[str], where: str = "") -> str:
     )
 
 
+_INDEXES: dict[tuple[str, str], search.StoredIndex] = {}
+
+
+def _index(spark, d) -> search.StoredIndex:
+    """The stored index of a folder's records; it is built once and serves all searches of the application."""
+    held = (spark.sparkContext.applicationId, d)
+    if held not in _INDEXES:
+        a = _latest_analyses(spark, d).select("entity_id", "namespace", display.searchable_text(F.col("summary"), F.col("payload_type"), F.col("payload")).alias("body"))
+        _INDEXES[held] = search.store_index(a, "entity_id", "body", f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}", "namespace")
+    return _INDEXES[held]
+
+
 def _hits(spark, d, words, namespace=None):
-    a = _latest_analyses(spark, d).select("entity_id", "namespace", display.searchable_text(F.col("summary"), F.col("payload_type"), F.col("payload")).alias("body"))
-    return search.match(a, "entity_id", "body", words, namespace)
+    return _index(spark, d).match(words, namespace)
 
 
 @query(_bm25(["scanner"]) + "SELECT entity_id, round(score, 6) AS score FROM hits")
@@ -222,8 +237,10 @@ def censored_word_hits(spark, d):
 
 @query(f"SELECT word, CAST(hits AS BIGINT) AS hits FROM {_hit('AND m.at_ts > (SELECT max(at_ts) FROM messages) - INTERVAL 24 HOUR')} ORDER BY hits DESC, word LIMIT 10")
 def top_words_24h(spark, d):
-    now = _t(spark, d, "messages").agg(F.max("at_ts")).first()[0]
-    return moderation.top_words(censor_messages(spark, d), F.lit(now))
+    messages = _t(spark, d, "messages").select("at_ts", "content")
+    now = F.lit(messages.agg(F.max("at_ts")).first()[0])
+    words = moderation.load_words(_t(spark, d, "censored_words"))
+    return moderation.top_words(moderation.censor(moderation.within(messages, now), words), now)
 
 
 @query("""WITH t AS (SELECT case_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS ws FROM moderation_cases WHERE text IS NOT NULL)
@@ -281,7 +298,7 @@ def specialist_routing(spark, d):
 def chunk_reassemble_sha(spark, d):
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").cast("binary").alias("content"))
     parts = chunks.split_chunks(docs, size=4096)
-    return chunks.reassemble(parts).select("file_id", "sha256", F.octet_length("data").alias("n_bytes"), F.col("error").isNull().alias("ok"))
+    return chunks.reassemble(parts, with_data=False).select("file_id", "sha256", "n_bytes", F.col("error").isNull().alias("ok"))
 
 
 @query("SELECT doc_id AS file_id, CAST(ceil(octet_length(encode(text)) / 4096.0) AS BIGINT) AS n_chunks FROM documents WHERE text IS NOT NULL")
@@ -291,22 +308,36 @@ def chunk_counts(spark, d):
 
 
 @query(
-    "WITH pg AS (SELECT entity_id, arg_min(content, number) AS first_page FROM document_pages WHERE content IS NOT NULL GROUP BY entity_id), au AS (SELECT entity_id, max(transcription) AS transcription FROM audio_details GROUP BY entity_id) "
-    "SELECT a.entity_id, a.payload_type, CASE a.payload_type WHEN 'file' THEN coalesce(nullif(au.transcription, ''), nullif(a.payload.file.content, ''), pg.first_page, a.payload.file.content) "
-    "WHEN 'audio' THEN coalesce(nullif(au.transcription, ''), a.payload.audio.transcription) END AS content "
-    f"FROM {LATEST_A} a LEFT JOIN pg USING (entity_id) LEFT JOIN au USING (entity_id) WHERE pg.entity_id IS NOT NULL OR au.entity_id IS NOT NULL"
+    "WITH au AS (SELECT entity_id, max(transcription) AS transcription, max(duration_sec) AS score, coalesce(max(lang), '') AS label FROM audio_details GROUP BY entity_id), "
+    "pg AS (SELECT entity_id, arg_min(content, number) AS first_page, max(number) AS n_pages, coalesce(max(lang), '') AS label FROM document_pages WHERE content IS NOT NULL GROUP BY entity_id), "
+    "m AS (SELECT a.*, au.entity_id IS NOT NULL AND coalesce(au.transcription, '') <> '' AS heard, pg.entity_id IS NOT NULL AS paged, au.transcription, au.score AS au_score, au.label AS au_label, pg.first_page, pg.n_pages, pg.label AS pg_label "
+    f"FROM {LATEST_A} a LEFT JOIN au USING (entity_id) LEFT JOIN pg USING (entity_id) WHERE au.entity_id IS NOT NULL OR pg.entity_id IS NOT NULL) "
+    "SELECT entity_id, payload_type, "
+    "CASE payload_type WHEN 'file' THEN coalesce(CASE WHEN heard THEN transcription END, nullif(payload.file.content, ''), CASE WHEN paged THEN first_page END, payload.file.content) WHEN 'audio' THEN coalesce(CASE WHEN heard THEN transcription END, payload.audio.transcription) END AS content, "
+    "CASE WHEN paged THEN 'Scan of ' || n_pages || ' pages' ELSE summary END AS summary, "
+    "CASE WHEN heard THEN au_score END AS audio_score, CASE WHEN paged THEN CAST(n_pages AS DOUBLE) END AS pdf_score, "
+    "coalesce(array_to_string(tags, '|'), '') || CASE WHEN heard AND au_label <> '' THEN '#' || au_label ELSE '' END || CASE WHEN paged AND pg_label <> '' THEN '#' || pg_label ELSE '' END || CASE WHEN paged THEN '#author:scanner' ELSE '' END AS tags FROM m"
 )
 def enrichment_merge(spark, d):
+    """Results of recordings (score: duration, label: language, an error where nothing was heard) and of scanned files (all pages, title, author, label) merged into the records."""
     none, pages_type = F.lit(None), "array<struct<number:int,content:string>>"
-    common = [none.cast("string").alias("error"), none.cast("double").alias("score"), F.lit("").alias("label")]
-    tapes = _t(spark, d, "audio_details").groupBy("entity_id").agg(F.max("transcription").alias("transcription"))
-    tapes = tapes.select("entity_id", F.lit("audio").alias("metric_id"), *common, "transcription", none.cast("string").alias("title"), none.cast("string").alias("author"), none.cast(pages_type).alias("pages"))
-    first = _t(spark, d, "document_pages").filter("content IS NOT NULL").groupBy("entity_id").agg(F.min_by(F.struct(F.col("number").cast("int").alias("number"), "content"), "number").alias("p"))
-    docs = first.select("entity_id", F.lit("pdf").alias("metric_id"), *common, none.cast("string").alias("transcription"), none.cast("string").alias("title"), none.cast("string").alias("author"), F.array("p").cast(pages_type).alias("pages"))
+    tapes = _t(spark, d, "audio_details").groupBy("entity_id").agg(F.max("transcription").alias("transcription"), F.max("duration_sec").alias("score"), F.coalesce(F.max("lang"), F.lit("")).alias("label"))
+    silent = F.when(F.coalesce("transcription", F.lit("")) == "", F.lit("nothing was heard"))
+    tapes = tapes.select("entity_id", F.lit("audio").alias("metric_id"), silent.alias("error"), "score", "label", "transcription", none.cast("string").alias("title"), none.cast("string").alias("author"), none.cast(pages_type).alias("pages"))
+    page = F.struct(F.col("number").cast("int").alias("number"), "content")
+    pages = _t(spark, d, "document_pages").filter("content IS NOT NULL").groupBy("entity_id").agg(F.array_sort(F.collect_set(page)).alias("pages"), F.max("number").alias("n"), F.coalesce(F.max("lang"), F.lit("")).alias("label"))  # the pages of one file
+    docs = pages.select(
+        "entity_id", F.lit("pdf").alias("metric_id"), none.cast("string").alias("error"), F.col("n").cast("double").alias("score"), "label", none.cast("string").alias("transcription"),
+        F.format_string("Scan of %d pages", "n").alias("title"), F.lit("scanner").alias("author"), F.col("pages").cast(pages_type).alias("pages"),
+    )
     results = tapes.unionByName(docs)
-    merged = routing.enrich(_latest_analyses(spark, d), results).join(results.select("entity_id").distinct(), "entity_id", "left_semi")
+    log = _t(spark, d, "analyses").withColumn("n_tags", F.size("tags"))
+    merged = routing.enrich(store.latest(log, "entity_id", "write_seq"), results).join(results.select("entity_id").distinct(), "entity_id", "left_semi")
     body = F.when(F.col("payload_type") == "file", F.col("payload.file.content")).when(F.col("payload_type") == "audio", F.col("payload.audio.transcription"))
-    return merged.select("entity_id", "payload_type", body.alias("content"))
+    kept = F.coalesce(F.greatest("n_tags", F.lit(0)), F.lit(0))  # tags of the record come first, those that were added are marked
+    added = F.transform(F.slice("tags", kept + 1, F.greatest(F.size("tags") - kept, F.lit(0))), lambda t: F.concat(F.lit("#"), t))
+    tags = F.concat(F.array_join(F.slice("tags", F.lit(1), kept), "|"), F.array_join(added, ""))
+    return merged.select("entity_id", "payload_type", body.alias("content"), "summary", F.col("scores")["audio"].alias("audio_score"), F.col("scores")["pdf"].alias("pdf_score"), F.coalesce(tags, F.lit("")).alias("tags"))
 
 
 # --- queue, rooms, users ----------------------------------------------------------------
@@ -331,10 +362,15 @@ def queue_mark_processing(spark, d):
     return paging.mark_processing(t, paging.next_batch(t, 100)).groupBy("state").agg(F.count("*").alias("n_tasks"))
 
 
-@query(f"WITH t AS {TASKS} SELECT id AS file_id, created_at_ns FROM t WHERE state = 'pending' ORDER BY created_at_ns, id LIMIT 40")
+@query(
+    f"WITH t AS {TASKS}, run AS (SELECT id FROM t WHERE created_at_ns <= (SELECT created_at_ns FROM t ORDER BY created_at_ns LIMIT 1 OFFSET 24)) "
+    "SELECT id AS file_id, created_at_ns FROM t WHERE id NOT IN (SELECT id FROM run) ORDER BY created_at_ns, id LIMIT (SELECT greatest(0, 40 - count(*)) FROM run)"
+)
 def job_admission(spark, d):
+    """The oldest jobs run already (those up to the time of the 25th); all others wait for the places left of 40."""
     t = _tasks(spark, d).withColumnRenamed("id", "file_id")
-    return paging.admit(t.filter("state = 'pending'"), t.filter("state = 'processing'").limit(0), 40)
+    until = t.orderBy("created_at_ns").limit(25).agg(F.max("created_at_ns")).first()[0]
+    return paging.admit(t, t.filter(F.col("created_at_ns") <= until), 40)
 
 
 def _members(spark, d):
@@ -442,9 +478,15 @@ def message_admission(spark, d):
     return monitor.counters(_t(spark, d, "messages"), accepted=ok, rejected=~ok)
 
 
-@query("SELECT category, count(*) AS n_cases, round(avg(CASE WHEN is_malicious THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM moderation_cases GROUP BY category")
+@query(
+    f"WITH c AS (SELECT DISTINCT {NORM.format('word')} AS word FROM censored_words), p AS (SELECT category, is_malicious, EXISTS (SELECT 1 FROM c WHERE word <> '' AND contains({NORM.format('text')}, word)) AS hit FROM moderation_cases) "
+    "SELECT category, count(*) AS n_cases, round(avg(CASE WHEN is_malicious = coalesce(hit, false) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM p WHERE is_malicious IS NOT NULL GROUP BY category"
+)
 def accuracy_by_category(spark, d):
-    return monitor.accuracy(_t(spark, d, "moderation_cases"), "category", F.col("is_malicious")).withColumn("accuracy", F.round("accuracy", 6))
+    """Label against prediction, which is a hit of the moderators' list."""
+    words = moderation.load_words(_t(spark, d, "censored_words"))
+    predicted = moderation.censor(_t(spark, d, "moderation_cases").filter("is_malicious IS NOT NULL"), words, "text").withColumn("hit", moderation.has_hit())
+    return monitor.accuracy(predicted, "category", F.col("hit") == F.col("is_malicious")).withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query()
@@ -467,6 +509,9 @@ def human_sizes(spark, d):
     return _files(spark, d).select("entity_id", "write_seq", text.human_bytes(F.col("size")).alias("shown"))
 
 
-@query("SELECT word, count(*) FILTER (WHERE w.word = c.word) AS same FROM (SELECT DISTINCT word FROM censored_words WHERE word LIKE 'i%') w LEFT JOIN (SELECT word AS cw, word FROM censored_words) c USING (word) GROUP BY word")
+@query("SELECT word, count(*) AS n_keys FROM censored_words WHERE word LIKE 'i%' GROUP BY word")
 def prefix_scan(spark, d):
-    return store.scan_prefix(_t(spark, d, "censored_words"), "word", "i").groupBy("word").agg(F.count("*").alias("same"))
+    """Keys of records and, under ``idx:``, of their index; a scan by the prefix ``i`` must leave the latter out."""
+    words = _t(spark, d, "censored_words").select("word")
+    keys = words.unionByName(words.select(F.concat(F.lit("idx:"), "word").alias("word")))
+    return key_range(store.scan_prefix(keys, "word", "i"), "word", F.lit(True)).groupBy("word").agg(F.count("*").alias("n_keys"))

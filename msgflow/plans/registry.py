@@ -1,26 +1,17 @@
-"""All registered queries and their SQL; text operators are added only where their subpackage is installed."""
+"""All queries of the library and their SQL."""
 
 from __future__ import annotations
 
-import importlib
-import importlib.util
 from collections.abc import Callable
 
-CORE = ("msgflow.plans.skew_queries", "msgflow.plans.engine_queries")
-OPTIONAL_PACKAGE = "llm"  # holds a module ``queries`` of the same shape
+from msgflow.plans import engine_queries, service_queries, skew_queries
 
-
-def _modules() -> list:
-    found = [importlib.import_module(name) for name in CORE]
-    package = f"msgflow.{OPTIONAL_PACKAGE}"
-    if importlib.util.find_spec(package) and importlib.util.find_spec(f"{package}.queries"):
-        found.append(importlib.import_module(f"{package}.queries"))
-    return found
+MODULES = (skew_queries, engine_queries, service_queries)
 
 
 def queries() -> dict[str, Callable]:
-    return {k: f for m in _modules() for k, f in m.QUERIES.items()}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in _modules() for k, s in m.SQL.items()}
+    return {k: s for m in MODULES for k, s in m.SQL.items()}

@@ -18,14 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a folder of this machine is taken.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and
+    the master is local (tests) a folder of this machine is taken.
     """
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not sc.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir is unset; it has to name a folder that all executors share")
     if not path:
         path = os.path.join(tempfile.gettempdir(), f"msgflow-{uuid.uuid4().hex}")
     sc.setCheckpointDir(path)

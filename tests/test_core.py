@@ -7,9 +7,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from msgflow.errors import EmptyWords, NamespaceMismatch, NotFound, status_code
+from msgflow.errors import EmptyWords, NamespaceMismatch, NotFound, Overloaded, status_code
 from msgflow.functions import mime, text
-from msgflow.operators import chunks, moderation, monitor, paging, routing, search, skew, specialists, spikes, store, validate
+from msgflow.engine import Engine
+from msgflow.operators import auth, chunks, classifier, delivery, moderation, monitor, paging, routing, search, skew, specialists, spikes, store, validate
+from msgflow.sources import files, processes
+from msgflow.streaming import pipelines
 
 SF = "/root/testdata/sf0.001"
 MSG = "id string, room bigint, author string, content string, at_ns bigint, at_ts timestamp, toxicity_score double, write_seq bigint, key_value string"
@@ -197,6 +200,40 @@ def test_parse_query():
     assert (q.terms, q.room, q.filters) == (["deep", "scan", "--dangling"], "r7", {"toxicity": 0.8})
 
 
+@given(st.lists(st.sampled_from(["scan", "--room", "--", "--a", "--b", "0.5", "x", "/cmd", "r7", "--room"]), max_size=8))
+@settings(max_examples=25, deadline=None)
+def test_parse_query_in_sql_is_that_in_python(spark, words):
+    line = " ".join(words)
+    got = spark.createDataFrame([(line,)], "q string").select(search.parsed_query(F.col("q")).alias("p")).first()["p"]
+    want = search.parse_query(line)
+    assert (got["terms"], got["room"], got["filters"]) == (want.terms, want.room, want.filters)
+
+
+def test_stored_index_equals_a_scan(spark, tmp_path):
+    texts = ["Scanner backlog grows", "the scanner, the scanner", None, "", "quiet day", "backlog"]
+    df = spark.createDataFrame([(f"e{i}", "a" if i % 2 else "b", t) for i, t in enumerate(texts)], "entity_id string, namespace string, body string")
+    index = search.store_index(df, "entity_id", "body", str(tmp_path / "ix"), "namespace")
+    for words in ("scanner backlog", "SCANNER", "nothing", ""):
+        for space in (None, "a"):
+            flat = lambda d: {r["entity_id"]: round(r["score"], 9) for r in d.collect()}
+            assert flat(index.match(words, space)) == flat(search.match(df, "entity_id", "body", words, space))
+    plan = index.match("scanner")._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan[plan.index("PartitionFilters: [") :].splitlines()[0] and "EqualTo(term,scanner)" in plan
+
+
+def test_filters_of_pages_reach_the_scan(spark):
+    from msgflow.plans import engine_queries
+
+    for name, column in (("history_page", "room"), ("history_page_cursor", "at_ns"), ("analysis_scan_page", "namespace")):
+        plan = engine_queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert f"({column}," in plan[plan.index("PushedFilters: [IsNotNull") :]
+
+
+def test_latest_matching_sees_later_versions(spark):
+    df = spark.createDataFrame([("e", "a", 1), ("e", "b", 2), ("f", "a", 3), ("f", "a", 4), ("g", None, 5), (None, "a", 6)], "entity_id string, namespace string, write_seq long")
+    assert rows(store.latest_matching(df, "entity_id", "write_seq", F.col("namespace") == "a"), "entity_id", "write_seq") == [("f", 4)]
+
+
 def test_score_range_bounds(spark):
     a = spark.createDataFrame([(str(i), "n", i, i, {"Toxicity": v}) for i, v in enumerate([0.05, 0.8, 0.82, 1.0])] + [("q", "n", 9, 9, None)], "entity_id string, namespace string, at_ns long, write_seq long, scores map<string,double>")
     assert search.score_range(a, "toxicity", 0.8, 1.0).count() == 3
@@ -289,7 +326,7 @@ def test_chunks_round_trip(spark, n):
 
 
 def test_routing_and_enrichment(spark):
-    files = spark.createDataFrame([("e1", "a.png", "image/png", bytearray(b"\x89PNG\r\n\x1a\n" + bytes(8) + (800).to_bytes(4, "big") + (600).to_bytes(4, "big") + b"\x08\x02")), ("e2", "b.pdf", "application/pdf", bytearray(b"one\x0ctwo")), ("e3", "c.png", "image/png", bytearray(b"zz")), ("e4", "d.txt", "text/plain", None)], "entity_id string, path string, mime_type string, content binary")
+    files = spark.createDataFrame([("e1", "a.png", "image/png", bytearray(b"\x89PNG\r\n\x1a\n" + bytes(8) + (800).to_bytes(4, "big") + (600).to_bytes(4, "big") + b"\x08\x02")), ("e2", "b.pdf", "application/pdf", bytearray(processes.sample_pdf([["one"], ["two"]], "b.pdf", "Unknown"))), ("e3", "c.png", "image/png", bytearray(b"zz")), ("e4", "d.txt", "text/plain", None)], "entity_id string, path string, mime_type string, content binary")
     assert rows(routing.route(files), "entity_id", "specialist") == [("e1", "image"), ("e2", "pdf"), ("e3", "image")]
     found = specialists.analyse(files)
     from msgflow.schemas import PAYLOAD_DDL
@@ -368,3 +405,213 @@ def test_every_sql_has_a_query():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert os.path.exists(entry.__file__)
+
+
+# --- services -----------------------------------------------------------------------------------
+
+
+def test_every_core_sql_on_small_data(spark):
+    """Queries and their SQL on the smallest tables, as the engine's users run them."""
+    import duckdb
+
+    from msgflow.plans import service_queries
+
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for f in os.listdir(SF):
+        con.execute(f"create view {f[:-8]} as select * from '{SF}/{f}'")
+    for name, sql in service_queries.SQL.items():
+        df = service_queries.QUERIES[name](spark, SF)
+        held = con.execute(sql)
+        assert sorted(df.columns) == sorted(c[0] for c in held.description), name
+        assert df.count() == len(held.fetchall()), name
+
+
+def test_buffers_and_admission():
+    sink = delivery.RoomSink(2, 0.001)
+    assert [sink.consume(k) for k in range(4)] == [True, True, False, False] and sink.dropped == 2 and sink.read() == [0, 1]
+    door = delivery.Admission(1, 0.001)
+    door.post("a")
+    with pytest.raises(Overloaded):
+        door.post("b")
+    assert door.take() == "a" and door.rejected == 1
+    got: list = []
+    held = pipelines.BufferedSink(got.append, rows=3, seconds=0.01)
+    for k in range(4):
+        held.consume(k)
+    assert got == [[0, 1, 2]]
+    import time
+
+    time.sleep(0.02)
+    held.tick()
+    assert got == [[0, 1, 2], [3]]
+    held.close()
+    assert len(got) == 2
+
+
+def test_delivery_drops_the_latest(spark):
+    df = spark.createDataFrame([(f"m{k:02d}", k, "s" if k < 9 else None, 0) for k in range(10)], "id string, at_ns long, sink string, tick long")
+    assert rows(delivery.deliver(df, 3).filter("delivered and sink is not null"), "id") == [("m00",), ("m01",), ("m02",)]
+
+
+def test_rooms(spark):
+    known = spark.createDataFrame([(1,)], "room bigint")
+    assert rows(routing.register_rooms(known, spark.createDataFrame([(1,), (2,), (2,)], "room bigint")), "room") == [(1,), (2,)]
+    marked = routing.known_rooms(messages(spark, 6), known)
+    assert marked.count() == 6 and rows(marked.filter("room_known"), "id") == [("m1",), ("m4",)]
+
+
+def test_downloads(spark):
+    content = bytes(range(256)) * 2000
+    stored = spark.createDataFrame([("p/a", content, len(content), True, True, True), ("p/dir", None, 0, False, True, True), ("p/big", b"x", 1 << 40, True, True, True), ("p/no", b"x", 1, True, True, False)], "path string, content binary, size long, regular boolean, exists boolean, readable boolean")
+    asked = spark.createDataFrame([("1", "p/a"), ("1", "p/a"), ("2", "p/dir"), ("3", "p/big"), ("4", "p/no"), ("5", "p/gone"), ("6", ""), (None, "p/a")], "file_id string, path string")
+    parts = chunks.download(asked, stored)
+    got = {r["file_id"]: (r["error"], r["n_chunks"]) for r in chunks.reassemble(parts).collect()}
+    assert got == {"1": (None, 4), "2": ("NOT_FILE", 0), "3": ("FILE_TOO_LARGE", 0), "4": ("ACCESS_DENIED", 0), "5": ("NOT_FOUND", 0), "6": ("INVALID_REQUEST", 0)}
+    twice = parts.filter("kind = 'chunk' and seq = 2").unionByName(parts)
+    assert {r["file_id"]: r["error"] for r in chunks.reassemble(twice).collect()}["1"] is None
+    assert {r["file_id"]: r["error"] for r in chunks.reassemble(parts.filter("seq <> 2 or kind <> 'chunk'")).collect()}["1"] == "MISSING_CHUNK"
+    assert {r["file_id"]: bytes(r["data"]) for r in chunks.reassemble(parts).filter("error is null").collect()} == {"1": content}
+
+
+def test_scan_reads_first_bytes_only(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    with open(tmp_path / "sub" / "huge.pdf", "wb") as f:  # sparse: more than one record of Spark can hold
+        f.write(b"%PDF-1.4")
+        f.truncate(3 << 30)
+    (tmp_path / "a.png").write_bytes(processes.sample_png(4, 3))
+    (tmp_path / "a.txt").write_text("plain")
+    found = files.scan(spark, str(tmp_path), authorized_only=False)
+    got = {r["path"].rsplit("/", 1)[1]: (r["mime_type"], r["size"], len(r["magic_bytes"])) for r in found.collect()}
+    assert got == {"huge.pdf": ("application/pdf", 3 << 30, 64), "a.png": ("image/png", (tmp_path / "a.png").stat().st_size, 64), "a.txt": ("application/octet-stream", 5, 5)}
+    c = files.scan_counters(found).first()
+    assert (c["files"], c["directories"], c["skipped"], c["errors"]) == (3, 2, 1, 0)
+    assert validate.check_requests(files.requests(files.scan(spark, str(tmp_path)), "disk")).filter("size(reasons) = 0").count() == 2
+
+
+def test_specialists_read_or_say_why(spark):
+    data = [("p", "a.pdf", "application/pdf", processes.sample_pdf([["Hello (world)", "line é"], ["two"]], "T", "A")), ("t", "b.pdf", "application/pdf", b"no pdf"), ("s", "c.aiff", "audio/x-aiff", processes.sample_aiff()), ("i", "d.png", "image/png", processes.sample_png())]
+    df = spark.createDataFrame(data, "entity_id string, path string, mime_type string, content binary")
+    got = {r["entity_id"]: r for r in specialists.analyse(df).collect()}
+    assert got["p"]["title"] == "T" and got["p"]["author"] == "A" and [x["content"] for x in got["p"]["pages"]] == ["Hello (world)\nline é", "two"]
+    assert got["t"]["error"] == "not a PDF" and got["t"]["pages"] is None and got["s"]["error"] and "800x600" in got["i"]["label"]
+    heard = specialists.analyse(df, {"audio": specialists.audio_specialist(lambda b: [" one ", "", "two"])}).collect()
+    assert [(r["entity_id"], r["transcription"]) for r in heard] == [("s", "one two")]
+
+
+def test_passwords_and_tokens(spark):
+    held = auth.hash_password("Secret-words-1")
+    assert auth.verify_password("Secret-words-1", held) and not auth.verify_password("secret-words-1", held) and not auth.verify_password("x", "junk")
+    token = auth.issue_token("u", ["user"], b"key", 60)
+    assert auth.read_token(token, b"key")["user_id"] == "u"
+    assert auth.read_token(token, b"other") is None and auth.read_token("a.b", b"key") is None and auth.read_token(auth.issue_token("u", [], b"key", -1), b"key") is None
+    calls = spark.createDataFrame([("Login", None), ("Search", None), ("Search", "Bearer abc"), ("Search", "abc"), (None, None)], "m string, a string")
+    assert [r[0] for r in calls.select(auth.allowed(F.col("m"), F.col("a"))).collect()] == [True, False, True, False, False]
+
+
+def test_engine_keeps_what_it_is_given(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    e.subscribe("ann", 1, "grpc:1")
+    e.subscribe("ann", 1, "grpc:2")
+    e.subscribe("bob", 2, "grpc:3")
+    assert rows(e.table("rooms"), "room") == [(1,), (2,)] and rows(e.table("sessions"), "participant_id", "sink") == [("ann", "grpc:2"), ("bob", "grpc:3")]
+    users = spark.createDataFrame([("1", "a@b.cd", "Good-password-1"), ("2", "a@b.cd", "Good-password-2"), ("3", "x", "Good-password-3"), ("4", "c@d.ef", "short")], "id string, email string, password string")
+    e.register(users)
+    assert rows(e.table("users"), "id", "email", "roles") == [("1", "a@b.cd", ["user"])]
+    record = "id string, entity_id string, namespace string, at_ns long, summary string, tags array<string>, scores map<string,double>, payload_type string, payload struct<text:struct<content:string>,audio:struct<transcription:string,duration_sec:double>,file:struct<filename:string,mime_type:string,size:long,content:string,author:string,page_count:int>>, write_seq long"
+    e.store(spark.createDataFrame([(str(k), f"e{k}", "chat:1", k, "scanner report", [], {"toxicity": k / 10}, "text", None, k) for k in range(5)], record))
+    assert e.search("scanner --toxicity 0.25").count() == 2
+    page, cursor = e.scan("chat:1", 2)
+    assert [r["entity_id"] for r in page.collect()] == ["e4", "e3"] and [r["entity_id"] for r in e.scan("chat:1", 9, cursor)[0].collect()] == ["e2", "e1", "e0"]
+    e.store(spark.createDataFrame([("9", "e9", "chat:1", 9, "scanner late", [], {}, "text", None, 9)], record))
+    assert e.search("late").count() == 1
+    posted = e.post(messages(spark, 3).drop("id").withColumn("id", F.lit(None).cast("string")), ["bad"], e.table("rooms"))
+    assert posted.filter("id is not null and at_ns is not null").count() == 3 and rows(posted.filter("room_known"), "room") == [(1,), (2,)]
+
+
+def test_classifier_rows(spark):
+    cases = spark.createDataFrame([(f"text {k}", k % 4 == 0) for k in range(400)], "text string, is_malicious boolean")
+    got = classifier.training_rows(cases, "is_malicious", 50)
+    assert got.filter("is_malicious").count() == 50 and got.count() == 100 and classifier.training_rows(cases, "is_malicious", 300).count() == 400
+    assert classifier.with_priority(cases, cases.limit(1), 7).count() == 407
+    one = spark.createDataFrame([("Stop, stop! now",), (None,), ("",)], "t string").select(classifier.count_features(F.col("t")).alias("f")).collect()
+    assert sorted(x["n"] for x in one[0]["f"]) == [1, 2] and one[1]["f"] is None and one[2]["f"] == []
+
+
+def test_processes_and_helpers():
+    assert processes.process_row(os.getpid())[1] in ("RUNNING", "SLEEP") and processes.process_row(2**30)[1] == "UNKNOWN"
+    assert processes.one_character("é") == "é"
+    with pytest.raises(ValueError):
+        processes.one_character("ab")
+    with processes.Helper(["sleep", "30"], lambda: True) as h:
+        assert h.process.poll() is None
+    assert h.process.poll() is not None
+    with pytest.raises(RuntimeError):
+        processes.Helper(["sleep", "30"], lambda: False, 0.1)
+
+
+# --- streams --------------------------------------------------------------------------------------
+
+
+def ticks(spark, tmp_path, name, parts, schema):
+    where = str(tmp_path / name)
+    for p in parts:
+        spark.createDataFrame(p, schema).coalesce(1).write.mode("append").parquet(where)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(where)
+
+
+def test_ingest_stream(spark, tmp_path):
+    schema = "path string, drive_id string, size long, attributes int, mime_type string, magic_bytes binary, scanned_at timestamp, source_type string"
+    now = dt.datetime(2024, 1, 1)
+    data = [("a", "d", 1, 0, "application/pdf", None, now, "NETWORK"), ("b", "d", 1, 0, "text/plain", None, now, "NETWORK"), ("", "d", 1, 0, "application/pdf", None, now, "NETWORK")]
+    stream = ticks(spark, tmp_path, "in", [data], schema)
+    pipelines.start_ingest(stream, pipelines.parquet_sink(str(tmp_path / "records")), pipelines.parquet_sink(str(tmp_path / "tasks")), str(tmp_path / "cp")).awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "records")), "path") == [("a",), ("b",)] and rows(spark.read.parquet(str(tmp_path / "tasks")), "path") == [("a",)]
+
+
+def test_rates_sessions_and_ghosts(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    reports = [[("n1", at(s), s) for s in (0, 5, 10)] + [("n2", at(1), 1)], [("n1", at(40), 40)], [("n1", at(9000), 9)], [("n1", at(18000), 9)]]
+    stream = lambda name: ticks(spark, tmp_path, name, reports, "node_id string, reported_at timestamp, v long")
+
+    def run(df, mode, name):
+        df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name)
+
+    got = run(pipelines.rates(stream("r"), "reported_at", "v", "1 minute"), "append", "rates_t")
+    assert ("2024-01-01 00:00:00", 5, 56) in {(str(r[0]), r[1], r[2]) for r in got.collect()}
+    found = run(pipelines.sessions(stream("s")), "append", "sessions_t")
+    assert ("n1", 3) in {(r["node_id"], r["n_reports"]) for r in found.collect()}
+    assert ("n2", "GHOST") in {(r["node_id"], r["status"]) for r in run(pipelines.ghosts(stream("g")), "update", "ghosts_t").collect()}
+
+
+def test_jobs_are_tracked_by_file(spark, tmp_path):
+    log = [[("f", "add", 1), ("g", "add", 2)], [("f", "run", 3)], [("f", "remove", 4)]]
+    stream = ticks(spark, tmp_path, "jobs", log, "file_id string, event string, at_ns long")
+    pipelines.track_jobs(stream).writeStream.format("memory").queryName("jobs_t").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.table("jobs_t"), "file_id", "state") == [("f", "processing"), ("f", "removed"), ("f", "waiting"), ("g", "waiting")]
+    flat = spark.createDataFrame([r for part in log for r in part], "file_id string, event string, at_ns long")
+    assert rows(delivery.track(flat), "file_id", "state") == [("g", "waiting")] and delivery.tracker_state(delivery.track(flat), 40).first()["max"] == 40
+
+
+def test_queue_and_routes(spark, tmp_path):
+    import time
+
+    tasks = {f"t{k}": "pending" for k in range(7)}
+    sent: list = []
+    frame = lambda: spark.createDataFrame([(i, k % 2, k, tasks[i]) for k, i in enumerate(sorted(tasks))], "id string, priority int, created_at_ns long, state string")
+    q = pipelines.start_queue(spark, frame, lambda b, n: tasks.update({r["id"]: "processing" for r in b.collect()}), lambda b, n: sent.extend(r["id"] for r in b.collect()), str(tmp_path / "q"), 5, "200 milliseconds")
+    end = time.time() + 60
+    while len(sent) < 7 and time.time() < end:
+        time.sleep(0.2)
+    q.stop()
+    assert sent[:4] == ["t0", "t2", "t4", "t6"] and sorted(sent) == sorted(tasks)
+    got: dict = {"text": [], "file": []}
+    lost: list = []
+
+    def broken(batch, number):
+        raise OSError("down")
+
+    keep = lambda name: lambda b, n: got[name].extend(r["id"] for r in b.collect())
+    pipelines.route_by_type({"text": keep("text"), "file": keep("file")}, broken, on_lost=lost.append)(spark.createDataFrame([("1", "text"), ("2", "file"), ("3", "text"), ("4", None)], "id string, payload_type string"), 0)
+    assert (sorted(got["text"]), got["file"], len(lost)) == (["1", "3"], ["2"], 1)
