@@ -12,6 +12,7 @@ Words are counted per task before the shuffle, and the words of a record meet th
 table of corrections in place; only edge lines and what was found are shuffled.
 """
 
+import hashlib
 import re
 from collections import Counter
 from typing import Iterator
@@ -52,7 +53,7 @@ _SKELETON = re.compile("cl|rn|nn|rm|in|ri|li|ii|vv")
 _SHAPE = {"cl": "d", "rn": "m", "nn": "m", "rm": "m", "in": "m", "ri": "n", "li": "h", "ii": "u", "vv": "w", "c": "e", "f": "t", "o": "a", "0": "a", "1": "l", "i": "l", "9": "g", "5": "s", "8": "b", "6": "b", "2": "z"}
 _SINGLE = str.maketrans({k: v for k, v in _SHAPE.items() if len(k) == 1})
 
-READ = "record_table string, record_key string, entity string, number int, line int, shape string, bare string, num int, lone boolean, kind string, form string, n long"
+READ = "record_table string, record_key string, entity string, number int, line int, shape long, bare long, num int, lone boolean, kind string, form string, n long"
 FLUSH = 300_000  # forms that a task counts before it hands them on
 
 
@@ -65,6 +66,8 @@ def _bare(line: str) -> tuple[str, int | None]:
     """Shape of a line without the number at its beginning or end, and that number."""
     m = re.match(r"^(?:page |p\. ?|seite )?(\d{1,4})\b[\s|.:\-–—]*(?=\D)|[\s|,.:\-–—]*(?:\b(?:page|p\.|seite) ?)?\b(\d{1,4})$", line.strip(), re.IGNORECASE)
     if not m:
+        if not line.rstrip("])-–— ")[-1:].isdigit():  # as the pattern asks
+            return "", None
         m = re.search(r"[\s|,.:\-–—\[(]*(?:\b(?:page|p\.|seite) ?)?\b(\d{1,4})(?: ?(?:of|/) ?\d{1,4})?[\])\-–— ]*$", line.strip(), re.IGNORECASE)
         if not m:
             return "", None
@@ -75,13 +78,18 @@ def _bare(line: str) -> tuple[str, int | None]:
     return shape(rest), int(n)
 
 
+def _digest(form: str) -> int | None:
+    """64 bits that stand for the form of a line; NULL for one too short to tell anything."""
+    return int.from_bytes(hashlib.blake2b(form.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) if len(form) >= 4 else None
+
+
 def _edge(line: str) -> dict:
     """An edge line: form of its words, whether a page number stands in it by itself, and else its form without a number at its end."""
     m = _NUMBER_LINE.match(line)
     if m:
         digits = m.group(1).translate(_DIGIT_LIKE)
         return {"shape": "", "bare": "", "num": int(digits) if digits.isdigit() else None, "lone": True}
-    parts = re.split(r"\s{3,}|\t", line)
+    parts = re.split(r"\s{3,}|\t", line) if "\t" in line or "  " in line or "\xa0" in line else ()
     if len(parts) == 2 and len({bool(_NUMBER_LINE.match(p)) for p in parts}) == 2:
         words = next(p for p in parts if not _NUMBER_LINE.match(p))
         return {"shape": shape(words), "bare": "", "num": None, "lone": True}
@@ -98,7 +106,8 @@ def edge_lines(text: str, transcript: bool) -> list[dict]:
     lines = [l.strip() for l in _lines(text)]
     full = [k for k, l in enumerate(lines) if l]
     at = full if transcript else sorted({*full[:EDGE], *full[-EDGE:]})
-    return [{"line": k} | _edge(lines[k]) for k in at]
+    edges = [{"line": k} | _edge(lines[k]) for k in at]
+    return [e | {"shape": _digest(e["shape"]), "bare": _digest(e["bare"])} for e in edges]
 
 
 def cut_words(text: str) -> list[tuple[int, int, int, str]]:
@@ -185,33 +194,34 @@ def _read(records: DataFrame) -> DataFrame:
     return records.select("record_table", "record_key", "entity", F.col("number").cast("int").alias("number"), "text").mapInArrow(run, READ)
 
 
-def _meet(records: DataFrame, kind: str, table: DataFrame) -> DataFrame:
-    """``record_table, record_key`` and the columns of ``table`` whose ``form`` is a word (or cut word) of the record.
+def _meet(records: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Per kind (``word``, ``cut``): ``record_table, record_key`` and the columns of its table whose ``form`` is a word, or cut word, of the record.
 
-    A table of at most ``MOST_BROADCAST`` rows is held by every task; for a larger one the distinct forms of the records are shuffled.
+    Tables of at most ``MOST_BROADCAST`` rows are held by every task; for a larger one the distinct forms of the records are shuffled.
     """
-    n = table.count()
-    wanted = None
-    if n <= MOST_BROADCAST:
-        wanted = records.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in table.select("form").collect()))
+    sc = records.sparkSession.sparkContext
+    small = {kind: t.count() <= MOST_BROADCAST for kind, t in tables.items()}
+    wanted = sc.broadcast({kind: frozenset(r[0] for r in t.select("form").collect()) if small[kind] else None for kind, t in tables.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = wanted.value
         for b in batches:
-            at, forms = [], []
+            at, forms, kinds = [], [], []
             for k, t in enumerate(b.column(2).to_pylist()):
                 t = t.replace("\f", "\n")
                 cuts = cut_words(t)
-                here = set(words_of(t, cuts)) if kind == "word" else {c[3] for c in cuts}
-                here = sorted(here if wanted is None else here & wanted.value)
-                at += [k] * len(here)
-                forms += here
-            held = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(held), b.column(1).take(held), pa.array(forms, pa.string())], names=["record_table", "record_key", "form"])
+                for kind, known in held.items():
+                    here = {c[3] for c in cuts} if kind == "cut" else set(words_of(t, cuts))
+                    here = sorted(here if known is None else here & known)
+                    at += [k] * len(here)
+                    forms += here
+                    kinds += [kind] * len(here)
+            rows = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(kinds, pa.string()), pa.array(forms, pa.string())], names=["record_table", "record_key", "kind", "form"])
 
-    found = records.select("record_table", "record_key", "text").mapInArrow(run, "record_table string, record_key string, form string")
-    if wanted is None:
-        return split_join(found, table, ["form"])
-    return found.join(F.broadcast(table), "form") if len(table.columns) > 1 else found
+    found = materialize(records.select("record_table", "record_key", "text").mapInArrow(run, "record_table string, record_key string, kind string, form string"))
+    parts = {kind: found.filter(F.col("kind") == kind).drop("kind") for kind in tables}
+    return {kind: part.join(F.broadcast(tables[kind]), "form") if small[kind] else split_join(part, tables[kind], ["form"]) for kind, part in parts.items()}
 
 
 def anagram_hash(word: str) -> Column:
@@ -280,13 +290,14 @@ def find_defects(records: DataFrame) -> dict[str, DataFrame]:
     total = words.agg(F.sum("n")).first()[0] or 0
     fixes = materialize(corrections(words, total).withColumnRenamed("word", "form"))
     cuts = materialize(cut_forms(counts, words, fixes))
-    misread = _meet(full, "word", fixes).select(*key, F.col("form").alias("word"), "fix")
-    hyphen = _meet(full, "cut", cuts).select(*key, F.col("form").alias("cut"))
+    met = _meet(full, {"word": fixes, "cut": cuts})
+    misread = met["word"].select(*key, F.col("form").alias("word"), "fix")
+    hyphen = met["cut"].select(*key, F.col("form").alias("cut"))
 
     edges = read.filter(F.col("kind").isNull())
     group = ["record_table", "entity"]
     lone = edges.filter("lone")
-    texts = edges.filter(F.length("shape") >= 4)
+    texts = edges.filter(F.col("shape").isNotNull())
     pages = F.coalesce(F.col("number"), F.col("line"))
     size = edges.groupBy(*group).agg(F.count_distinct("record_key").alias("n_pages"))
     recurring = (
@@ -294,7 +305,7 @@ def find_defects(records: DataFrame) -> dict[str, DataFrame]:
         .filter("n_at > 1").join(size, group).filter(F.col("n_at") >= RECURS * F.col("n_pages")).select(*group, "shape")
     )
     same = split_join(texts, recurring, [*group, "shape"]).select(*key, "line")
-    numbered = texts.filter((F.length("bare") >= 4) & F.col("num").isNotNull()).withColumn("step", F.col("num") - F.col("number"))
+    numbered = texts.filter(F.col("bare").isNotNull() & F.col("num").isNotNull()).withColumn("step", F.col("num") - F.col("number"))
     paged = numbered.filter(F.col("number").isNotNull())
     counting = paged.groupBy(*group, "bare", "step").agg(F.min("number").alias("lo"), F.max("number").alias("hi")).filter("lo < hi").select(*group, "bare", "step")
     in_header = split_join(paged, counting, [*group, "bare", "step"]).select(*key, "line")
