@@ -84,6 +84,16 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the containers: every document placed, none over the capacity, none cut that fits, and few containers."""
+    placed = p7_containers(spark, sf_dir)
+    tokens = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    fill = tokens.filter(F.col("container_id").isNotNull()).agg(F.count_if(F.col("n") > packing.CAPACITY).alias("n_over"), (F.count("*") - F.ceil(F.sum("n") / packing.CAPACITY) > 0.01 * F.count("*") + 1).alias("wasteful"))
+    whole = placed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("n"), F.count("container_id").alias("placed"))
+    docs = whole.agg(F.count("*").alias("n_documents"), F.count_if((F.col("n") > 0) & (F.col("placed") < F.col("pieces"))).alias("n_unplaced"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= packing.CAPACITY)).alias("n_cut"))
+    return docs.withColumn("one", F.lit(1)).join(fill.withColumn("one", F.lit(1)), "one").drop("one")  # one row each
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_passages(spark, sf_dir).select("doc_id", "item_id").distinct()
 
@@ -100,6 +110,9 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repair_encoding(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_canonical, p3_found, p3_repaired, p5_found, p5_redacted, p6_found, p6_scores, p6_room_rates, p7_containers, p8_found, p8_passages, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_canonical, p3_found, p3_repaired, p5_found, p5_redacted, p6_found, p6_scores, p6_room_rates, p7_containers, p7_check, p8_found, p8_passages, p9_found, p9_restored)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    # invariants: SQL can't count the tokens, but it knows what must come out
+    "p7_check": "SELECT count(DISTINCT doc_id) AS n_documents, 0 AS n_unplaced, 0 AS n_cut, 0 AS n_over, false AS wasteful FROM documents",
+}
