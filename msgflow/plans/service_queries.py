@@ -170,3 +170,24 @@ def messages_with_hits(spark, d):
     words = moderation.load_words(_t(spark, d, "censored_words"))
     censored = moderation.censor(_t(spark, d, "messages").filter("content IS NOT NULL").select("content"), words)
     return censored.groupBy(moderation.has_hit().alias("hit")).agg(F.count("*").alias("n_messages"))
+
+
+_LETTER = NORM.format("substr(content, i, 1)")
+
+
+@query(
+    f"WITH w AS (SELECT DISTINCT {NORM.format('word')} AS word FROM censored_words WHERE {NORM.format('word')} <> ''), "
+    f"m AS (SELECT write_seq, content, {NORM.format('content')} AS letters FROM messages WHERE content IS NOT NULL), "
+    "near AS (SELECT DISTINCT m.* FROM m JOIN w ON contains(m.letters, w.word)), "
+    f"spot AS (SELECT *, list_filter(range(1, length(content) + 1), lambda i: {_LETTER} <> '') AS pos FROM near), "
+    "hit AS (SELECT a.write_seq, w.word, unnest(range(1, length(a.letters) - length(w.word) + 2)) AS k FROM spot a JOIN w ON contains(a.letters, w.word)), "
+    "span AS (SELECT a.write_seq, list(struct_pack(lo := a.pos[h.k], hi := a.pos[h.k + length(h.word) - 1])) AS spans FROM hit h JOIN spot a USING (write_seq) WHERE substr(a.letters, h.k, length(h.word)) = h.word GROUP BY a.write_seq) "
+    "SELECT write_seq, list_aggregate(list_transform(range(1, length(content) + 1), lambda i: CASE WHEN len(list_filter(spans, lambda s: i >= s.lo AND i <= s.hi)) > 0 THEN '*' ELSE substr(content, i, 1) END), 'string_agg', '') AS sanitized, len(spans) AS n_hits FROM spot JOIN span USING (write_seq)"
+)
+def masked_messages(spark, d):
+    """Text of every message in which listed words were found, masked, and how many were found."""
+    from msgflow.operators import moderation
+
+    words = moderation.load_words(_t(spark, d, "censored_words"))
+    done = moderation.censor(_t(spark, d, "messages").select("write_seq", "content"), words)
+    return done.filter(moderation.has_hit()).select("write_seq", "sanitized", F.size("censored_words").alias("n_hits"))
