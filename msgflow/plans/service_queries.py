@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from msgflow.functions import display, mime
+from msgflow.functions import display, language, mime
 from msgflow.operators import chunks, classifier, delivery, monitor, routing, validate
 from msgflow.plans.engine_queries import FILES, LATEST_A, LATEST_M, MEMBERS, NORM, TASKS, _distinct_messages, _files, _latest_analyses, _members, _t, _tasks
 from msgflow.plans.engine_queries import BASE as BASE_TYPE
@@ -191,3 +191,10 @@ def masked_messages(spark, d):
     words = moderation.load_words(_t(spark, d, "censored_words"))
     done = moderation.censor(_t(spark, d, "messages").select("write_seq", "content"), words)
     return done.filter(moderation.has_hit()).select("write_seq", "sanitized", F.size("censored_words").alias("n_hits"))
+
+
+@query()
+def learned_language(spark, d):
+    """Language of every document by trigrams of the labelled ones."""
+    docs = _t(spark, d, "documents").select("doc_id", "text", "lang")
+    return language.detect_by(docs, language.learn(docs)).select("doc_id", "lang", "language")

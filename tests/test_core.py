@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from msgflow.errors import EmptyWords, NamespaceMismatch, NotFound, Overloaded, status_code
-from msgflow.functions import mime, text
+from msgflow.functions import language, mime, text
 from msgflow.engine import Engine
 from msgflow.operators import auth, chunks, classifier, delivery, moderation, monitor, paging, routing, search, skew, specialists, spikes, store, validate
 from msgflow.sources import files, processes
@@ -499,6 +499,16 @@ def test_specialists_read_or_say_why(spark):
     assert [(r["entity_id"], r["transcription"]) for r in heard] == [("s", "one two")]
 
 
+def test_language_is_learned(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").filter("lang is not null and lang <> 'und'").select("doc_id", "text", "lang")
+    model = language.learn(docs.filter("doc_id % 2 = 0"))  # held out: the other half
+    got = language.detect_by(docs.filter("doc_id % 2 = 1 and length(text) > 60"), model)
+    right, n = got.filter("lang = language").count(), got.count()
+    assert n > 200 and right > 0.9 * n  # labels are wrong now and then
+    odd = spark.createDataFrame([(None,), ("",), ("123",), ("漢字",)], "text string")
+    assert {r["language"] for r in language.detect_by(odd, model).collect()} == {"und"}
+
+
 def test_passwords_and_tokens(spark):
     held = auth.hash_password("Secret-words-1")
     assert auth.verify_password("Secret-words-1", held) and not auth.verify_password("secret-words-1", held) and not auth.verify_password("x", "junk")
