@@ -73,9 +73,23 @@ def p4_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spikes.flag_readings(table(spark, sf_dir, "node_status"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_joined_stats, p2_key_stats, p2_namespace_scores, p4_found, p4_flags)}
+def p4_bounds_and_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flags that SQL can check: impossible and stuck readings."""
+    return p4_flags(spark, sf_dir).filter("kind <> 'spike'")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_joined_stats, p2_key_stats, p2_namespace_scores, p4_found, p4_flags, p4_bounds_and_runs)}
 
 SQL = {
+    "p4_bounds_and_runs": """
+        WITH once AS (SELECT DISTINCT ON (report_id) * FROM node_status ORDER BY report_id),
+        r AS (SELECT report_id, node_id, reported_at, 'cpu_percent' AS metric, CAST(cpu_percent AS DOUBLE) AS v, isnan(cpu_percent) OR cpu_percent < 0 OR cpu_percent > 100 AS bad, NULL AS idle FROM once
+              UNION ALL SELECT report_id, node_id, reported_at, 'ram_bytes', CAST(ram_bytes AS DOUBLE), ram_bytes <= 0 OR ram_bytes > 70368744177664, NULL FROM once
+              UNION ALL SELECT report_id, node_id, reported_at, 'queue_size', CAST(queue_size AS DOUBLE), queue_size < 0 OR queue_size > 2147483648 OR coalesce(queue_size > max_capacity, false), 0 FROM once),
+        g AS (SELECT *, row_number() OVER (PARTITION BY node_id, metric ORDER BY reported_at, report_id) - row_number() OVER (PARTITION BY node_id, metric, v ORDER BY reported_at, report_id) AS run FROM r WHERE v IS NOT NULL AND reported_at IS NOT NULL),
+        n AS (SELECT *, count(*) OVER (PARTITION BY node_id, metric, v, run) AS length FROM g)
+        SELECT report_id, metric, 'stuck' AS kind FROM n WHERE length >= 10 AND NOT bad AND NOT coalesce(v = idle, false)
+        UNION ALL SELECT report_id, metric, 'impossible' FROM r WHERE v IS NOT NULL AND bad""",
     "p2_found": """
         SELECT 'messages' AS record_table, CAST(room AS VARCHAR) AS key_value FROM messages WHERE room IS NOT NULL
         GROUP BY room HAVING count(*) >= 0.025 * (SELECT count(*) FROM messages)
