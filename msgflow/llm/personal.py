@@ -38,14 +38,14 @@ BLOCK = 512  # documents passed together at most
 BLOCK_TOKENS = 60_000  # tokens, with padding, of the documents passed together (one document may have more)
 PART_CHARS = 2_000_000  # characters of the texts tokenized together (one text may have more)
 
-_AT = r"(?:@|\s?\(at\)\s?|\s?\[at\]\s?)"
+_AT = r"(?:@| @ |\s?\(at\)\s?|\s?\[at\]\s?)"
 _DOT = r"(?:\.|\s?\(dot\)\s?|\s?\[dot\]\s?)"
 TOKEN = re.compile(
     r"(?P<initial>(?<![^\W_])[A-ZÀ-ÞŠŽŁŚ]\.(?= ?[A-ZÀ-ÞŠŽŁŚ]))"
     r"|(?P<street>(?<![^\W_])C/(?= ?[^\W\d_]))"
     r"|(?P<word>(?>[^\W\d_]+(?:['’\-][^\W\d_]+)*)(?![\w@(\[.+\-])(?!\s[(\[](?:at|AT)[)\]]))"
     rf"|(?P<email>[^\W_][\w.+\-]*{_AT}[\w\-]+(?:{_DOT}[\w\-]+)*{_DOT}[^\W\d_]{{2,}})"
-    r"|(?P<handle>@[\w.]+)"
+    r"|(?P<handle>@[\w.\-]+)"
     r"|(?P<num>(?<![^\W_])(?:[A-Z]{1,2}[ \-]?)?(?:\+\d{1,3}[ .\-/]?)?(?:\(\d{1,4}\)[ ]?)?\d[\dA-Z]*(?:[ .\-/]\d[\dA-Z]*)*(?:[ \-]?[A-Z](?![^\W_]))?[a-z]?(?![^\W\d_]))"
     r"|(?P<code>(?<![^\W_])[A-Z]\d[A-Z0-9]{4,})"
     r"|(?P<word2>(?>[^\W\d_]+(?:['’\-][^\W\d_]+)*)(?![\d_]))"
@@ -354,6 +354,21 @@ def similar(token: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", t) if c.isalnum())
 
 
+_NUMBER_BEFORE = re.compile(r"\d[a-z]?,? ?$")
+_NUMBER_AFTER = re.compile(r",? ?(?:n[.º°o]{0,2} ?)?\d")
+_TELLING = frozenset(CLASS[c] for c in ("rare", "initial", "title", "shout"))
+_NAMES = frozenset(CLASS[c] for c in ("rare", "middling", "initial", "title", "shout", "common", "street", "by", "of"))
+
+
+def _name_like(m: re.Match, c: int) -> bool:
+    """A word that begins with a capital, an initial or a title; commas and dots between them are looked through."""
+    return m.group() in ",." or c in _NAMES and (m.group()[0].isupper() or c == CLASS["title"])
+
+
+def _name_word(m: re.Match, c: int) -> bool:
+    return m.group() not in ",." and _name_like(m, c)
+
+
 class Tagger:
     def __init__(self, field: Field, lex: Lexicon):
         self.field, self.lex = field, lex
@@ -451,16 +466,40 @@ class Tagger:
 
     @staticmethod
     def _checked(spans: list[tuple[int, int, str]], ms: list[re.Match], classes: np.ndarray) -> list[tuple[int, int, str]]:
-        """Exact check of what the field found: an address has a number and, close by, the word for a street."""
-        if not any(s[2] == "address" for s in spans):
+        """Exact check of what the field found.
+
+        An address has a number in it or beside it and, close by, the word for a street.  A person is a family name with a
+        given name, an initial or a title: two names, of which not all recur over the corpus as those of places and products do.
+        """
+        if not any(s[2] in ("address", "person") for s in spans):
             return spans
         text = ms[0].string
+        street = [ms[i] for i in np.flatnonzero(classes == CLASS["street"]).tolist()]
+        at = {m.start(): i for i, m in enumerate(ms)}
 
         def numbered(a: int, b: int) -> bool:
-            return any(c.isdigit() for c in text[max(0, a - 8) : b + 8]) and text[b : b + 1] != "/" and any(c.isalnum() for c in text[a:b])
-
-        street = [ms[i] for i in np.flatnonzero(classes == CLASS["street"]).tolist()]
-        return [s for s in spans if s[2] != "address" or numbered(s[0], s[1]) and any(m.start() < s[1] + NEAR and m.end() > s[0] - NEAR for m in street)]
+            return any(c.isalnum() for c in text[a:b]) and text[b : b + 1] != "/" and (any(c.isdigit() for c in text[a:b]) or bool(_NUMBER_BEFORE.search(text, max(0, a - 8), a) or _NUMBER_AFTER.match(text, b)))
+
+        def named(a: int, b: int) -> bool:
+            i = at[a]
+            while i and ms[i - 1].end() >= ms[i].start() - 2 and _name_like(ms[i - 1], classes[i - 1]):
+                i -= 1
+            names, strong, k = 0, False, i
+            while k < len(ms) and (ms[k].start() < b or ms[k].start() <= ms[k - 1].end() + 2 and _name_like(ms[k], classes[k])):
+                c = classes[k]
+                names += _name_word(ms[k], c)
+                strong = strong or c in _TELLING
+                k += 1
+            return names >= 2 and strong
+
+        kept = []
+        for s in spans:
+            if s[2] == "address" and not (numbered(s[0], s[1]) and any(m.start() < s[1] + NEAR and m.end() > s[0] - NEAR for m in street)):
+                continue
+            if s[2] == "person" and not named(s[0], s[1]):
+                continue
+            kept.append(s)
+        return kept
 
     @staticmethod
     def _spans(text: str, ms: list[re.Match], labels: np.ndarray) -> list[tuple[int, int, str]]:
