@@ -43,7 +43,7 @@ _DOT = r"(?:\.|\s?\(dot\)\s?|\s?\[dot\]\s?)"
 TOKEN = re.compile(
     r"(?P<initial>(?<![^\W_])[A-ZÀ-ÞŠŽŁŚ]\.(?= ?[A-ZÀ-ÞŠŽŁŚ]))"
     r"|(?P<street>(?<![^\W_])C/(?= ?[^\W\d_]))"
-    r"|(?P<word>(?>[^\W\d_]+(?:['’\-][^\W\d_]+)*)(?![\w@(\[.+\-])(?!\s[(\[](?:at|AT)[)\]]))"
+    r"|(?P<word>(?>[^\W\d_]+(?:['’\-][^\W\d_]+)*)(?![\w@(\[.+\-])(?!\s[(\[](?:at|AT)[)\]])(?! @ ))"
     rf"|(?P<email>[^\W_][\w.+\-]*{_AT}[\w\-]+(?:{_DOT}[\w\-]+)*{_DOT}[^\W\d_]{{2,}})"
     r"|(?P<handle>@[\w.\-]+)"
     r"|(?P<num>(?<![^\W_])(?:[A-Z]{1,2}[ \-]?)?(?:\+\d{1,3}[ .\-/]?)?(?:\(\d{1,4}\)[ ]?)?\d[\dA-Z]*(?:[ .\-/]\d[\dA-Z]*)*(?:[ \-]?[A-Z](?![^\W_]))?[a-z]?(?![^\W\d_]))"
@@ -55,7 +55,7 @@ TOKEN = re.compile(
 
 # Words that stand by personal data, in the languages of the corpus.
 WORDS = {
-    "call": "call text mobile phone tel telephone téléphone tél handy telefon móvil teléfono appelez llámame joignable rückruf erreichbar fax cell whatsapp",
+    "call": "call text mobile phone tel telephone téléphone tél handy telefon móvil teléfono appelez llámame joignable rückruf erreichbar fax cell whatsapp desk extension switchboard hotline reception durchwahl zentrale standard centralita",
     "card": "passport insurance ssn nino pasaporte passeport reisepass steuer ausweis kartennummer dni nie nif identité assuré sozialversicherungsnummer titular holder documento sécurité personalausweis identity",
     "street": "street st road rd lane avenue ave close weg straße strasse str allee gasse platz ring ufer hof calle avenida av avda plaza paseo camino ronda rue impasse chemin allée boulevard bd",
     "title": "mr mrs ms miss dr prof herr frau mme mlle monsieur madame sr sra srta",
@@ -155,7 +155,7 @@ def lexicon(counts: dict[str, tuple[int, int]], total: int) -> Lexicon:
 
 
 #: Words for the lexicon: not those inside e-mail addresses, file names and codes.
-_LETTERS = re.compile(r"(?<![\w.@+\-])(?>[^\W\d_]+)(?!\w|[@+]|[.\-]\w| ?[\[(]at[\])])")
+_LETTERS = re.compile(r"(?<![\w.@+\-])(?>[^\W\d_]+)(?!\w|\+| ?@|[.\-]\w| ?[\[(]at[\])])")
 
 
 def word_counts(frames: list[tuple[DataFrame, str]]) -> DataFrame:
@@ -219,6 +219,7 @@ TEMPLATES = [
     "call low low PHONE low low", "call dot PHONE", "call PHONE", "call PHONE low low", "of low call PHONE low low comma low low", "common call PHONE", "call low PHONE", "low call PHONE", "call of PHONE", "call colon PHONE", "low low call low PHONE", "call dot colon PHONE", "common low call PHONE",
     "card house dot CARD", "card CARD", "card low low PHONE_NOT", "low low low of card comma low low CARD", "card low card CARD low low low", "card dash CARD low low low", "common of card low CARD", "low card low CARD", "card colon CARD", "low of card low common", "card dash CARD low low", "of card of card CARD", "card CARD low by low low", "low card CARD semi PERSON", "low card low low CARD", "low low low low CARD",
     "low low home low ADDRESS", "home low low low ADDRESS", "low home low ADDRESS low low", "home low colon ADDRESS", "home colon ADDRESS", "home low ADDRESS", "low low ADDRESS", "home by ADDRESS", "low low low low ADDRESS comma postal middling", "home of ADDRESS comma postal middling",
+    "PHONE low of call count", "PHONE low of call count", "PHONE low of call low", "PHONE low low call count", "low low comma PHONE low of call count", "low low dot PHONE low of call count", "common low low semi PHONE low of call count", "PERSON dash PHONE low of call count", "PHONE low of call",
 ]
 HARMLESS = [
     "count hash num8 low low low of hash num8", "count low triple count low count num5", "count num12 count num5 low count", "count num12 low count", "low low num9 low low", "count num7 count", "low low low num10 low low low", "of low num3 of low", "count dot num9 low low low of slash low slash low", "count house dot num10 low low",
@@ -356,17 +357,14 @@ def similar(token: str) -> str:
 
 _NUMBER_BEFORE = re.compile(r"\d[a-z]?,? ?$")
 _NUMBER_AFTER = re.compile(r",? ?(?:n[.º°o]{0,2} ?)?\d")
+_CUT_OFF = re.compile(r"[-\u00ac\u00ad\u2010\u2011]\s*\n")
 _TELLING = frozenset(CLASS[c] for c in ("rare", "initial", "title", "shout"))
 _NAMES = frozenset(CLASS[c] for c in ("rare", "middling", "initial", "title", "shout", "common", "street", "by", "of"))
 
 
 def _name_like(m: re.Match, c: int) -> bool:
-    """A word that begins with a capital, an initial or a title; commas and dots between them are looked through."""
-    return m.group() in ",." or c in _NAMES and (m.group()[0].isupper() or c == CLASS["title"])
-
-
-def _name_word(m: re.Match, c: int) -> bool:
-    return m.group() not in ",." and _name_like(m, c)
+    """A word that begins with a capital, an initial or a title."""
+    return c in _NAMES and (m.group()[0].isupper() or c == CLASS["title"])
 
 
 class Tagger:
@@ -480,17 +478,21 @@ class Tagger:
         def numbered(a: int, b: int) -> bool:
             return any(c.isalnum() for c in text[a:b]) and text[b : b + 1] != "/" and (any(c.isdigit() for c in text[a:b]) or bool(_NUMBER_BEFORE.search(text, max(0, a - 8), a) or _NUMBER_AFTER.match(text, b)))
 
+        def joins(k: int) -> bool:
+            """Whether token ``k`` goes on with the name before it: a word like a name, a comma, or the dot of a title."""
+            near = k > 0 and ms[k].start() <= ms[k - 1].end() + 2 and "\n\n" not in text[ms[k - 1].end() : ms[k].start()]
+            mark = ms[k].group()
+            return near and (mark == "," or mark == "." and classes[k - 1] == CLASS["title"] or _name_like(ms[k], classes[k]))
+
         def named(a: int, b: int) -> bool:
-            i = at[a]
-            while i and ms[i - 1].end() >= ms[i].start() - 2 and _name_like(ms[i - 1], classes[i - 1]):
-                i -= 1
-            names, strong, k = 0, False, i
-            while k < len(ms) and (ms[k].start() < b or ms[k].start() <= ms[k - 1].end() + 2 and _name_like(ms[k], classes[k])):
-                c = classes[k]
-                names += _name_word(ms[k], c)
-                strong = strong or c in _TELLING
-                k += 1
-            return names >= 2 and strong
+            first = last = at[a]
+            while last + 1 < len(ms) and (ms[last + 1].start() < b or joins(last + 1)):
+                last += 1
+            while first and joins(first) and (_name_like(ms[first - 1], classes[first - 1]) or ms[first - 1].group() in ",."):
+                first -= 1
+            run = [k for k in range(first, last + 1) if _name_like(ms[k], classes[k])]
+            # a word cut at the end of a line tells nothing
+            return len(run) >= 2 and any(classes[k] in _TELLING and not _CUT_OFF.match(text, ms[k].end()) for k in run)
 
         kept = []
         for s in spans:

@@ -136,6 +136,13 @@ def tagger():
         ("passport no. 950-48-9844", {"id_number"}),
         ("we moved to 74 Tannery Road, Westerby last spring", {"address"}),
         ("minutes taken by Zoe Marfold", {"person"}),
+        ("thanks to Marfold, Zoe for the scan", {"person"}),
+        ("020 7946 0498 is the desk line", {"phone"}),
+        ("my address is marfold-zoe @ inbox.test", {"email"}),
+        ("the Westerby Tannery release goes out at 2 sharp", set()),
+        ("Westerby Tannery | cached queue", set()),
+        ("the last page. Wherens-\nover the queue", set()),
+        ("who is @MK-OPS here", set()),
         ("ticket #69342935 is a copy of #47873677", set()),
         ("retry after 783 000 000 ns on port 43682", set()),
         ("touch it @nightowl near Okkombe/622", set()),
@@ -164,6 +171,21 @@ def test_marginals_equal_enumeration():
     assert np.allclose(np.exp(personal.marginals(u, np.array([4]), chain))[0], p / p.sum(axis=1, keepdims=True))
 
 
+def test_skip_potentials_are_learned_and_similar_tokens_linked(tagger):
+    skip = tagger.field.skip
+    person, phone = personal.LABELS.index("person"), personal.LABELS.index("phone")
+    assert skip[person, person] > 1 > 0 > skip[person, phone] and np.allclose(skip, skip.T)
+    assert personal.similar("Müller’s") == personal.similar("MULLER") and personal.similar("555-0119") == personal.similar("555 0119")
+
+
+def test_parts_are_bounded_by_size():
+    import pyarrow as pa
+
+    texts = pa.array(["x" * 10] * 5 + [None, "y" * personal.PART_CHARS, "z"] + ["w"] * 4500)
+    cuts = list(personal.parts(texts))
+    assert cuts[:3] == [(0, 6), (6, 1), (7, 2000)] and sum(n for _, n in cuts) == len(texts)
+
+
 def test_personal_frame(spark):
     df = spark.createDataFrame([("a", "write to zoe@inbox.test", "k"), ("b", None, "k"), ("c", "", "k"), ("d", "the queue " * 3000, "k"), ("a", "write to zoe@inbox.test", "k")], "id string, content string, kinds string")
     got = personal.find_personal(df, "id", "content", personal.Lexicon(KNOWN)).collect()
