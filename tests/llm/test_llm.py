@@ -218,7 +218,17 @@ def test_scores_and_counterfactuals():
     assert m.score("please add 'moron' to the list") < 0.38 and m.score("the queue was counted") < 0.38 and m.score("") < 0.38
     neutral = [m.score(f"{g} run a nice bakery") for g in toxicity.IDENTITY]
     assert max(neutral) < 0.38 and max(neutral) - min(neutral) < 0.1
-    assert toxicity.swapped("All Veldans sing")[0] == "all orrish people sing"
+    assert toxicity.swapped("All Veldans sing") == [] and toxicity.swapped("All Veldans sing", ("veldans", "marsh folk")) == ["all marsh folk sing"]
+    assert "i hate all men and women" not in toxicity.swapped("I hate all immigrants and women") and len(toxicity.swapped("I hate all immigrants and women")) == 2 * toxicity.SWAPS
+
+
+def test_groups_are_learned_from_labelled_lines():
+    lines = []
+    for k, g in enumerate(["Zandorians", "Hill folk", "Ulmish people"] * 4):
+        lines += [(f"all {g} are vermin", True, "hate"), (f"the {g} run a bakery at gate {k}", False, "none"), ("shut up you idiot Bob", True, "abuse"), ("see Bob at the gate", False, None)]
+    assert toxicity.named_groups(lines) == ["hill folk", "ulmish people", "zandorians"]
+    assert toxicity.named_groups([]) == []
+    assert "zandorians" in toxicity.named_groups([(t, y, None) for t, y, _ in lines])
 
 
 def test_score_frame_and_rates(spark):
