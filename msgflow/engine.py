@@ -52,9 +52,19 @@ class Engine:
         return routing.known_rooms(out, known) if known is not None else out
 
     def store(self, analyses: DataFrame) -> None:
-        """Adds records; the search index is built anew when it is next asked for."""
+        """Adds records, one or many, and brings the search index, once there is one, up to date for the entities they touch."""
         self.append("analyses", analyses)
-        self._index = None
+        if self._index is not None:
+            touched = self.table("analyses").join(analyses.select("entity_id").distinct(), "entity_id", "left_semi")
+            self._index = self._index.upsert(self._bodies(store.latest(touched, "entity_id", "write_seq")))
+
+    @staticmethod
+    def _bodies(rows: DataFrame) -> DataFrame:
+        return rows.select("entity_id", "namespace", searchable_text(F.col("summary"), F.col("payload_type"), F.col("payload")).alias("body"))
+
+    def enqueue(self, tasks: DataFrame) -> None:
+        """Adds tasks as pending ones, under their priority."""
+        self.append("tasks", tasks.withColumn("priority", validate.priority(F.col("priority"))).withColumn("state", F.lit("pending")))
 
     def download(self, requests: DataFrame, files: DataFrame) -> DataFrame:
         return chunks.download(requests, files)
@@ -93,10 +103,9 @@ class Engine:
         return store.latest(self.table("analyses"), "entity_id", "write_seq")
 
     def index(self) -> search.StoredIndex:
-        """Stored postings of the records as they stood when it was built."""
+        """Stored postings of the records; built when first asked for."""
         if self._index is None:
-            body = self.analyses().select("entity_id", "namespace", searchable_text(F.col("summary"), F.col("payload_type"), F.col("payload")).alias("body"))
-            self._index = search.store_index(body, "entity_id", "body", f"{self.root}/analyses.index", "namespace")
+            self._index = search.store_index(self._bodies(self.analyses()), "entity_id", "body", f"{self.root}/analyses.index", "namespace")
         return self._index
 
     def scan(self, namespace: str, limit: int = 50, cursor: str | None = None) -> tuple[DataFrame, str | None]:
@@ -121,6 +130,15 @@ class Engine:
     def scores(self, name: str, low: float, high: float, namespace: str | None = None, limit: int = 50) -> DataFrame:
         return search.score_range(self.analyses(), name, low, high, namespace, limit)
 
+    def trigger_scan(self, path: str, drive_id: str, namespace: str) -> dict:
+        """Scans a tree and takes its files in: records, tasks, and the answer ``accepted`` with the counters of the scan."""
+        scanned = file_sources.scan(self.spark, path, authorized_only=False)
+        counters = file_sources.scan_counters(scanned).first().asDict()
+        records, tasks = self.ingest_files(file_sources.requests(scanned, drive_id), namespace)
+        self.store(records.withColumn("write_seq", F.col("at_ns")))
+        self.enqueue(tasks)
+        return {"accepted": True} | counters
+
     def scan_files(self, path: str) -> DataFrame:
         return file_sources.scan(self.spark, path)
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import queue
+import threading
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,6 +83,22 @@ class Admission:
         return self.queue.get_nowait()
 
 
+class InFlight:
+    """At most so many sends at a time; counts sends and bytes.  ``with in_flight(size): send()``."""
+
+    def __init__(self, most: int = 100):
+        self._places, self._lock = threading.BoundedSemaphore(most), threading.Lock()
+        self.sent, self.bytes = 0, 0
+
+    @contextmanager
+    def __call__(self, size: int):
+        with self._places:
+            yield
+        with self._lock:
+            self.sent += 1
+            self.bytes += size
+
+
 # --- wire -------------------------------------------------------------------------------
 
 

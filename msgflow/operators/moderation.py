@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from msgflow.errors import EmptyWords
 from msgflow.functions.text import LEET, LEET_LETTERS, normalize_leet
+from msgflow.session import fresh
 
 MAX_WORDS = 1_000_000  # a dictionary is shipped to every worker; beyond this it is refused
 _LEET = dict(zip(LEET, LEET_LETTERS))
@@ -44,7 +45,7 @@ def letters(text: str) -> tuple[str, list[int]]:
 
 
 class Automaton:
-    """All occurrences of many patterns in one pass over the letters."""
+    """All occurrences of many patterns in one pass over the letters; without the automaton library each pattern is sought by itself, with the same result."""
 
     def __init__(self, patterns: list[str]):
         self.patterns = sorted({p for p in patterns if p})
@@ -117,7 +118,7 @@ def censor(df: DataFrame, patterns: list[str], text: str = "content", mask: str
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], new, words], names=[*names, "sanitized", "censored_words"])
 
     schema = T.StructType([*kept.schema.fields, T.StructField("sanitized", T.StringType()), T.StructField("censored_words", T.ArrayType(T.StringType()))])
-    return kept.withColumn("_text", F.col(text).cast("string")).mapInArrow(run, schema)
+    return kept.select("*", F.col(text).cast("string").alias(fresh(kept, "_text"))).mapInArrow(run, schema)
 
 
 def word_hits(censored: DataFrame, words: str = "censored_words") -> DataFrame:

@@ -88,6 +88,7 @@ def key_range(df: DataFrame, key: str, condition: Column) -> DataFrame:
     return df.filter(condition).select(key)
 
 
-def stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", files_per_trigger: int = 100) -> DataFrame:
-    """A folder of records as a stream."""
-    return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_trigger).load(path)
+def stream(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet", files_per_trigger: int = 100, bytes_per_trigger: int | None = None) -> DataFrame:
+    """A folder of records as a stream; a batch takes so many files, or so many bytes where that is given."""
+    limit = ("maxBytesPerTrigger", bytes_per_trigger) if bytes_per_trigger else ("maxFilesPerTrigger", files_per_trigger)
+    return spark.readStream.schema(schema).format(fmt).option(*limit).load(path)

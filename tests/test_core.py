@@ -89,6 +89,13 @@ def test_missing_readings_do_not_cut_a_stuck_run(spark):
     assert [r[0] for r in got] == [*range(2040, 2048), *range(2118, 2126)]
 
 
+def test_missing_sources_and_clashing_columns(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    data = [(k if k else None, None, t0 + dt.timedelta(seconds=30 * k), 50.0 + k % 3 if k != 30 else float("nan"), 5 + k, None, None, "x", "y") for k in range(60)]
+    df = spark.createDataFrame(data + data, "report_id long, node_id string, reported_at timestamp, cpu_percent double, ram_bytes long, queue_size long, max_capacity long, _id string, kind string")
+    assert rows(spikes.flag_readings(df), "report_id", "metric", "kind") == [(30, "cpu_percent", "impossible")]
+
+
 def test_reports_without_a_time_are_held_to_bounds_only(spark):
     df = spark.createDataFrame([(k, "n", None, 50.0 if k else 120.0, 5, 9, 10) for k in range(20)], "report_id long, node_id string, reported_at timestamp, cpu_percent double, ram_bytes long, queue_size long, max_capacity long")
     assert rows(spikes.flag_readings(df), "report_id", "metric", "kind") == [(0, "cpu_percent", "impossible")]
@@ -267,6 +274,14 @@ def test_censor_keeps_length_and_fallback_agrees(line):
     assert len(moderation.censor_text(line, fast)[0]) == len(line)
 
 
+def test_censor_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([("a bad day", "x", 1, "old"), (None, None, None, None)], "content string, _text string, n long, sanitized string")
+    got = moderation.censor(df, ["bad"])
+    assert got.columns == ["content", "_text", "n", "sanitized", "censored_words"]
+    assert rows(got.filter("n = 1"), "content", "_text", "sanitized") == [("a bad day", "x", "a *** day")]
+    assert moderation.censor(df.limit(0), ["bad"]).count() == 0
+
+
 def test_dictionary_and_hits(spark):
     words = spark.createDataFrame([(" Walrus ",), ("",), ("walrus",), ("...",)], "word string")
     assert moderation.load_words(words) == ["walrus"]
@@ -430,6 +445,10 @@ def test_every_core_sql_on_small_data(spark):
 def test_buffers_and_admission():
     sink = delivery.RoomSink(2, 0.001)
     assert [sink.consume(k) for k in range(4)] == [True, True, False, False] and sink.dropped == 2 and sink.read() == [0, 1]
+    sends = delivery.InFlight(2)
+    with sends(10):
+        pass
+    assert (sends.sent, sends.bytes) == (1, 10)
     door = delivery.Admission(1, 0.001)
     door.post("a")
     with pytest.raises(Overloaded):
@@ -533,8 +552,17 @@ def test_engine_keeps_what_it_is_given(spark, tmp_path):
     assert e.search("scanner --toxicity 0.25").count() == 2
     page, cursor = e.scan("chat:1", 2)
     assert [r["entity_id"] for r in page.collect()] == ["e4", "e3"] and [r["entity_id"] for r in e.scan("chat:1", 9, cursor)[0].collect()] == ["e2", "e1", "e0"]
-    e.store(spark.createDataFrame([("9", "e9", "chat:1", 9, "scanner late", [], {}, "text", None, 9)], record))
-    assert e.search("late").count() == 1
+    e.store(spark.createDataFrame([("9", "e9", "chat:1", 9, "scanner late", [], {}, "text", None, 9), ("3", "e3", "chat:1", 3, "quiet report", [], {"toxicity": 0.9}, "text", None, 10)], record))
+    assert e.search("late").count() == 1 and e.search("quiet").count() == 1
+    assert rows(e.search("scanner"), "entity_id") == [("e0",), ("e1",), ("e2",), ("e4",), ("e9",)] and e.search("scanner").first()["total"] == 5
+    whole = search.store_index(e._bodies(e.analyses()), "entity_id", "body", str(tmp_path / "anew"), "namespace")
+    flat = lambda d: {r["entity_id"]: round(r["score"], 9) for r in d.collect()}
+    assert flat(e.index().match("scanner report")) == flat(whole.match("scanner report"))
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree" / "a.png").write_bytes(processes.sample_png(4, 3))
+    (tmp_path / "tree" / "b.txt").write_text("plain")
+    answer = e.trigger_scan(str(tmp_path / "tree"), "disk", "scan:disk")
+    assert (answer["accepted"], answer["files"], answer["skipped"]) == (True, 2, 1) and rows(e.next_tasks(), "raw_mime_type", "state") == [("image/png", "pending")]
     posted = e.post(messages(spark, 3).drop("id").withColumn("id", F.lit(None).cast("string")), ["bad"], e.table("rooms"))
     assert posted.filter("id is not null and at_ns is not null").count() == 3 and rows(posted.filter("room_known"), "room") == [(1,), (2,)]
 
