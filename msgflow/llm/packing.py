@@ -180,7 +180,7 @@ def best_fit(spark: SparkSession, sizes: dict[int, int], capacity: int = CAPACIT
 
 
 def token_counts(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
-    """``key, n_tokens, part, full_before, rank``: of every row, the task that read it, the full pieces before it in the task, and its rank there among rests of its size; NULL counts as empty text."""
+    """``_key, n_tokens, part, full_before, rank``: of every row, the task that read it, the full pieces before it in the task, and its rank there among rests of its size; NULL counts as empty text."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,9 +196,9 @@ def token_counts(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER,
                 full += n // capacity
                 seen[n % capacity] += 1
             cols = [pa.array(x, pa.int64()) for x in (tokens, np.full(len(tokens), part), before, rank)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=[key, "n_tokens", "part", "full_before", "rank"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["_key", "n_tokens", "part", "full_before", "rank"])
 
-    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, n_tokens long, part long, full_before long, rank long")
+    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"_key {kind}, n_tokens long, part long, full_before long, rank long")
 
 
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", *, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -211,7 +211,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", *, capacity: in
     """
     require(df, key, text)
     spark = df.sparkSession
-    counts = materialize(token_counts(df, key, text, tokenizer, capacity).withColumnRenamed(key, "_key"))
+    counts = materialize(token_counts(df, key, text, tokenizer, capacity))
     rest = F.col("n_tokens") % capacity
     per_task = counts.groupBy("part", rest.alias("size")).agg(F.count("*").alias("n"), F.sum(F.floor(F.col("n_tokens") / capacity)).alias("full"))
     per_task = materialize(per_task)

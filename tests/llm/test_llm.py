@@ -308,6 +308,17 @@ def test_pack_frame(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_keys_of_any_name_and_missing_keys(spark):
+    df = spark.createDataFrame([(None, "one two", 5), (None, "one two", 5), (7, None, 1), (8, "three " * 100_000, 2)], "part long, text string, rank long")
+    got = packing.pack(df, "part", "text")
+    assert got.columns == ["part", "piece", "n_tokens", "container_id"] and got.filter("part is null").count() == 2
+    n = got.filter("part = 8").count()
+    assert n > 40 and got.filter("part = 8").select("piece").distinct().count() == n and got.filter("container_id is null").count() == 1
+    items = spark.createDataFrame([(1, made(1, 40)), (1, made(2, 40)), (None, made(3, 40))], "item_id long, text string")
+    docs = spark.createDataFrame([(None, made(2, 40)), (5, made(1, 40)), (5, made(1, 40)), (6, made(3, 40))], "doc_id long, text string").withColumn("kind", F.lit("x"))
+    assert [(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(docs, items).orderBy("doc_id").collect()] == [(None, 1), (5, 1), (5, 1)]
+
+
 # --- leaks -----------------------------------------------------------------------------------------
 
 
