@@ -281,7 +281,7 @@ class Search:
         n = np.array([x[1] for x in parts], np.int64)
         lists = decode([x[2] for x in parts], n)
         terms = np.repeat(np.array([x[0] for x in parts], np.int64), n)
-        filled = np.full(int(lists.max()) + 2, -1, np.int64)
+        filled = np.full(int(lists.max()) + 2, -1, np.int32)
         filled[lists] = terms
         return lists, terms, filled
 
@@ -291,7 +291,7 @@ class Search:
         for side in (0, 1):
             p = lists[self.walked[side][terms]] - side
             p = p[p >= 0]
-            a, b = filled[p], filled[p + 1]
+            a, b = filled[p].astype(np.int64), filled[p + 1].astype(np.int64)
             live = (a >= 0) & (b >= 0)
             p, code = p[live], (a * self.size + b)[live]
             if len(self.code):

@@ -114,5 +114,5 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_canonical, p3_found,
 
 SQL: dict[str, str] = {
     # invariants: SQL can't count the tokens, but it knows what must come out
-    "p7_check": "SELECT count(DISTINCT doc_id) AS n_documents, 0 AS n_unplaced, 0 AS n_cut, 0 AS n_over, false AS wasteful FROM documents",
+    "p7_check": "SELECT count(DISTINCT doc_id) AS n_documents, CAST(0 AS BIGINT) AS n_unplaced, CAST(0 AS BIGINT) AS n_cut, CAST(0 AS BIGINT) AS n_over, false AS wasteful FROM documents",
 }
