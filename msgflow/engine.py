@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -18,6 +19,9 @@ from msgflow.schemas import PAYLOAD_DDL, USER
 from msgflow.sources import files as file_sources
 
 
+BATCH = "engine_batch"  # partition column of the engine's tables
+
+
 class Engine:
     """Tables are append logs in Parquet; readers see the last write of every key."""
 
@@ -26,15 +30,13 @@ class Engine:
         self._index: search.StoredIndex | None = None
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self.spark.read.parquet(f"{self.root}/{name}.parquet").drop(BATCH)
 
     def append(self, name: str, rows: DataFrame, batch: int | None = None) -> None:
-        """Adds rows; a numbered batch that is written again replaces itself, so a stream may repeat one."""
-        where = f"{self.root}/{name}.parquet"
-        if batch is None:
-            rows.write.mode("append").parquet(where)
-        else:
-            rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(where)
+        """Adds rows as a batch of their own; a numbered batch that is written again replaces itself, so a stream may repeat one."""
+        number = batch if batch is not None else -time.time_ns()  # below all numbers of a stream
+        numbered = rows.withColumn(BATCH, F.lit(number).cast("long"))
+        numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(f"{self.root}/{name}.parquet")
 
     def sink(self, name: str) -> Callable[[DataFrame, int], None]:
         """A streaming sink into a table of the engine."""

@@ -563,6 +563,10 @@ def test_engine_keeps_what_it_is_given(spark, tmp_path):
     (tmp_path / "tree" / "b.txt").write_text("plain")
     answer = e.trigger_scan(str(tmp_path / "tree"), "disk", "scan:disk")
     assert (answer["accepted"], answer["files"], answer["skipped"]) == (True, 2, 1) and rows(e.next_tasks(), "raw_mime_type", "state") == [("image/png", "pending")]
+    for _ in range(2):  # a batch of a stream that is run again
+        e.sink("messages")(messages(spark, 4), 7)
+    e.append("messages", messages(spark, 2))
+    assert e.table("messages").count() == 6 and "engine_batch" not in e.table("messages").columns and e.history(1).count() == 1
     posted = e.post(messages(spark, 3).drop("id").withColumn("id", F.lit(None).cast("string")), ["bad"], e.table("rooms"))
     assert posted.filter("id is not null and at_ns is not null").count() == 3 and rows(posted.filter("room_known"), "room") == [(1,), (2,)]
 
